@@ -1,0 +1 @@
+"""Strategies: transforms applied one after another."""
