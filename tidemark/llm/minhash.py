@@ -1,11 +1,14 @@
 """Near-duplicate detection by min-max hashing.
 
 Each permutation is evaluated once per shingle and gives two signature values, its
-minimum and its maximum, so 84 hash evaluations make a signature of 168 values with
-less variance than 168 minima of a half as many draws. 28 bands of 6 values (three
-permutations, their minima and maxima) find a pair of similarity 0.85 with
-probability 1 - (1 - 0.85^6)^28, a miss in about 6e5 pairs. Every pair that shares a
-band is then either connected already or compared on its full shingle sets.
+minimum and its maximum, so 72 hash evaluations make a signature of 144 values. 24
+bands of 6 values (three permutations, their minima and maxima) find a pair of
+similarity 0.85 with probability 1 - (1 - 0.85^6)^24: one in 8e4 is missed at the
+threshold itself, one in 8e7 at 0.9. Every pair that shares a band is then connected
+already, ruled out by an exact bound, or compared on its full shingle sets.
+
+The sides of the large joins grow with the corpus, so they are merge joins at every
+size (hint), never broadcasts that turn into something else on larger input.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from .common import cut, written
 from .components import components
 
 SHINGLE = 5
-PERMUTATIONS = 84
+PERMUTATIONS = 72
 BAND_PERMUTATIONS = 3
 BANDS = PERMUTATIONS // BAND_PERMUTATIONS
 PERCENT = 85
@@ -132,67 +135,87 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose full sets reach the similarity."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    """Those of pairs(a, b) whose sets reach the similarity. sets(doc_id, n, common):
+    the number of all shingles, and those that another document has too."""
+    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("common").alias("sa")).hint("merge")
+    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("common").alias("sb")).hint("merge")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    return pairs.join(one, "a").join(two, "b").where(100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct()
 
 
-def _sizes_fit(n: str, m: str) -> F.Column:
-    """No pair of such sizes can be ruled in: the smaller set bounds what is shared."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+def _can_link(n: str, m: str, k: str, j: str) -> F.Column:
+    """Whether sets of n and m shingles, k and j of them not theirs alone, can reach the
+    similarity: they share min(k, j) at most."""
+    share = F.least(k, j)
+    return 100 * share >= PERCENT * (F.col(n) + F.col(m) - share)
+
+
+def _reduced(sets: DataFrame) -> DataFrame:
+    """sets(doc_id, shingles) -> (doc_id, n, k, common): the k shingles that another of
+    the sets has too, of the n; what only one set has is shared by no pair."""
+    one = sets.select("doc_id", F.explode("shingles").alias("x"))
+    twice = one.groupBy("x").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("x")
+    kept = one.join(twice.hint("merge"), "x", "left_semi").groupBy("doc_id").agg(F.collect_list("x").alias("common"))
+    size = sets.select("doc_id", F.size("shingles").cast("long").alias("n"))
+    return size.join(kept.hint("merge"), "doc_id").select("doc_id", "n", F.size("common").cast("long").alias("k"), "common")
 
 
 def near_duplicates(docs: DataFrame, seed: int = 1) -> DataFrame:
     """One row per row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
     Rows of equal shingle sets form a class; classes that share a band are candidates.
-    First every class is compared with the smallest id of each of its bands, and the
-    links give components. A band whose classes are then still in several components
-    has its rest (all but its largest component) compared with the others, so no pair
-    that shares a band stays unsettled, and a large group of near copies costs its
-    size, not its square.
+    Shingles that only one candidate has cannot be shared, so a candidate with more
+    than 15 in 100 of them links with nothing, and they bound every pair (exactly).
+    First every candidate is compared with one center of each of its bands, the one
+    with the least of its own, and the links give components. A band whose members are
+    then still in several components has its rest (all but its largest component)
+    compared with the others, each pair once and unless its profiles rule it out, so no
+    pair that shares a band stays unsettled, while a large group of near copies costs
+    little more than its size.
 
     Null or word-less texts: an empty set, linked with nothing, kept. Null doc_id: such
     rows give no links; kept unless their text's class has an id. Rows that share a
     doc_id count as one document. Other columns of docs are not read."""
     sig = written(signatures(docs, seed), "minhash-signatures")
-    classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    banded = classes.where("rep is not null").select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("rep").alias("center"), F.min_by("n", "rep").alias("center_n"), F.count("*").alias("members")).where("members > 1 and center is not null")
-    members = written(banded.join(shared.select("bucket", "center", "center_n"), "bucket"), "minhash-members")
+    classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    banded = classes.where("rep is not null").select("rep", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("bucket")
+    members = written(banded.join(shared.hint("merge"), "bucket", "left_semi"), "minhash-members")
 
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(needed, "doc_id", "left_semi")), "minhash-sets")
-
-    first = cut(members.where((F.col("rep") != F.col("center")) & _sizes_fit("n", "center_n")).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct())
+    full = shingle_sets(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(needed.hint("merge"), "doc_id", "left_semi"))
+    sets = written(_reduced(written(full, "minhash-sets")).where(100 * F.col("k") >= PERCENT * F.col("n")), "minhash-reduced")
+
+    able = sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("k").alias("k")).withColumnRenamed("doc_id", "rep")
+    members = cut(members.join(able.hint("merge"), "rep"))
+    nearest = F.struct((1 - F.col("k") / F.col("n")).alias("own"), "rep", "n", "k")
+    centers = members.groupBy("bucket").agg(F.min(nearest).alias("c")).select("bucket", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("c.k").alias("ka"))
+    first = members.join(centers.hint("merge"), "bucket").where((F.col("rep") != F.col("a")) & _can_link("n", "na", "k", "ka"))
+    first = cut(first.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
     near = cut(components(_confirmed(first, sets)))
 
-    at = members.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("part"))
+    at = members.join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     parts = at.groupBy("bucket", "part").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = cut(at.join(parts.select("bucket", "main"), "bucket"))
-    rest = open_.where("part <> main").select("bucket", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("part").alias("p1"))
+    rest = open_.where("part <> main").toDF(*[f"{c}1" if c not in ("bucket", "main") else c for c in open_.columns]).drop("main")
+    others = open_.toDF(*[f"{c}2" if c not in ("bucket", "main") else c for c in open_.columns])
     pairs = (
-        rest.join(open_.select("bucket", "main", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("part").alias("p2")), "bucket")
-        .where((F.col("p1") != F.col("p2")) & ((F.col("p2") == F.col("main")) | (F.col("r1") < F.col("r2"))) & _sizes_fit("n1", "n2"))
-        .select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"))
+        rest.join(others, "bucket")
+        .where((F.col("part1") != F.col("part2")) & ((F.col("part2") == F.col("main")) | (F.col("rep1") < F.col("rep2"))) & _can_link("n1", "n2", "k1", "k2"))
+        .select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
     more = _confirmed(pairs, sets)
-    part_of = near.select(F.col("node"), F.col("component"))
-    lifted = (
-        more.join(part_of.toDF("a", "pa"), "a", "left").join(part_of.toDF("b", "pb"), "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
-    )
-    joined = components(lifted)
+    lifted = more.join(near.toDF("a", "pa"), "a", "left").join(near.toDF("b", "pb"), "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+    joined = cut(components(lifted))
     final = (
-        part_of.toDF("rep", "part").unionByName(joined.select(F.col("node").alias("rep"), F.col("node").alias("part")))
+        near.toDF("rep", "part").unionByName(joined.select(F.col("node").alias("rep"), F.col("node").alias("part")))
         .groupBy("rep").agg(F.min("part").alias("part"))
         .join(joined.toDF("part", "whole"), "part", "left")
         .select("rep", F.coalesce("whole", "part").alias("component"))
     )
-    named = classes.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    named = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")).join(final, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return (
         sig.select("doc_id", "n_shingles", "set_key")
         .join(named, "set_key", "left")
