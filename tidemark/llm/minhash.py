@@ -29,6 +29,8 @@ PERMUTATIONS = 72
 BAND_PERMUTATIONS = 3
 BANDS = PERMUTATIONS // BAND_PERMUTATIONS
 PERCENT = 85
+#: Counters of the profile that bounds what two sets share.
+PARTS = 128
 #: Words whose hashes a task keeps at once, a matter of speed only.
 _CACHE = 400_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -160,6 +162,20 @@ def _reduced(sets: DataFrame) -> DataFrame:
     return size.join(kept.hint("merge"), "doc_id").select("doc_id", "n", F.size("common").cast("long").alias("k"), "common")
 
 
+def _profiles(sets: DataFrame) -> DataFrame:
+    """sets(doc_id, common) -> (doc_id, profile): how many shingles have each remainder
+    by PARTS. What two sets share is at most the sum of the smaller counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.bincount(np.asarray(x.as_py(), np.int64) % PARTS, minlength=PARTS).astype(np.int32) for x in batch.column(1)]
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * PARTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc_id", "profile"])
+
+    return sets.select("doc_id", "common").mapInArrow(run, "doc_id long, profile array<int>")
+
+
 def near_duplicates(docs: DataFrame, seed: int = 1) -> DataFrame:
     """One row per row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
@@ -197,11 +213,18 @@ def near_duplicates(docs: DataFrame, seed: int = 1) -> DataFrame:
     at = members.join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     parts = at.groupBy("bucket", "part").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = cut(at.join(parts.select("bucket", "main"), "bucket"))
+    lists = open_.groupBy("rep").agg(F.collect_list("bucket").alias("own"))
+    profiles = _profiles(sets.join(lists.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).withColumnRenamed("doc_id", "rep")
+    open_ = cut(open_.join(lists, "rep").join(profiles, "rep"))
     rest = open_.where("part <> main").toDF(*[f"{c}1" if c not in ("bucket", "main") else c for c in open_.columns]).drop("main")
     others = open_.toDF(*[f"{c}2" if c not in ("bucket", "main") else c for c in open_.columns])
+    apart = (F.col("part1") != F.col("part2")) & ((F.col("part2") == F.col("main")) | (F.col("rep1") < F.col("rep2"))) & _can_link("n1", "n2", "k1", "k2")
+    # a pair of several bands is taken in one; the profiles bound what it can share
+    once = F.array_min(F.array_intersect("own1", "own2")) == F.col("bucket")
+    bound = F.aggregate(F.zip_with("profile1", "profile2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
     pairs = (
         rest.join(others, "bucket")
-        .where((F.col("part1") != F.col("part2")) & ((F.col("part2") == F.col("main")) | (F.col("rep1") < F.col("rep2"))) & _can_link("n1", "n2", "k1", "k2"))
+        .where(apart & once & (100 * bound >= PERCENT * (F.col("n1") + F.col("n2") - bound)))
         .select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
