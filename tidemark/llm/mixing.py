@@ -78,21 +78,17 @@ def rounds(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return placed, kinds, slots
 
 
-def mix(docs: DataFrame, shares: dict[str, int] | None = None, default_share: int = DEFAULT_SHARE, block_rows: int = BLOCK_ROWS, seed: int = 1) -> DataFrame:
-    """docs(doc_id, source, ...) -> its columns and __source (null: ''), __block (of the
-    source, from 0), __row (in the block), __slot, __release, __deadline: the block
-    keeps __release <= __slot < __deadline. Reading by (__slot, __row) gives the mix.
-
-    Every row is returned once, whatever its nulls; rows that are equal in doc_id keep
-    an order of their own. No rows: no rows. A large source is numbered in buckets, so
-    no task takes it whole."""
-    spark = docs.sparkSession
+def _scheduled(docs: DataFrame, shares: dict[str, int] | None, default_share: int, block_rows: int, seed: int) -> DataFrame:
+    """docs' rows as a struct __doc, so that no column of theirs meets one of ours, and
+    their places in the mix."""
     n = docs.count()
     buckets = min(_MOST_BUCKETS, max(1, -(-n // _BUCKET_ROWS)))
-    keyed = docs.withColumns({
-        "__source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "__draw": F.xxhash64(F.lit(seed), F.col("doc_id")),
-    }).withColumn("__bucket", F.pmod("__draw", F.lit(buckets)).cast("int"))
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("__doc"),
+        F.col("doc_id").alias("__id"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"),
+        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("__draw"),
+    ).withColumn("__bucket", F.pmod("__draw", F.lit(buckets)).cast("int"))
     filled = cut(keyed.groupBy("__source", "__bucket").agg(F.count("*").alias("c")))
     sources = filled.groupBy("__source").agg(F.ceil(F.sum("c") / block_rows).cast("long").alias("blocks")).select(F.col("__source").alias("src"), _share(F.col("__source"), shares or {}, default_share).alias("share"), "blocks")
     placed, kinds, slots = rounds(sources)
@@ -105,7 +101,7 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, default_share: in
     rows_at_most = (2 * m + 1) * (m * default_share + sum((shares or {}).values()))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = filled.withColumn("__before", before).join(placed, F.col("__source") == F.col("src")).select("__source", "__bucket", "__before", F.col("i").alias("__i"), F.col("share").alias("__share"), F.col("cuts").alias("__cuts"))
-    order = Window.partitionBy("__source", "__bucket").orderBy("__draw", "doc_id")
+    order = Window.partitionBy("__source", "__bucket").orderBy("__draw", "__id")
     at = keyed.withColumn("__nth", F.row_number().over(order) - 1).join(starts, ["__source", "__bucket"]).withColumn("__nth", F.col("__nth") + F.col("__before"))
     at = at.withColumns({"__block": F.expr(f"__nth div {block_rows}"), "__row": (F.col("__nth") % block_rows).cast("int")})
     at = at.withColumns({
@@ -115,15 +111,29 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, default_share: in
     out = at.join(F.broadcast(table) if rows_at_most <= _BROADCAST_ROWS else table, ["__kind", "__i", "__j"])
     start = F.expr("__base + (__block div __share - __first) * __length")
     return out.select(
-        *[docs[c] for c in docs.columns], "__source", "__block", "__row",
+        "__doc", "__source", "__block", "__row",
         (start + F.col("__at")).alias("__slot"),
         (start + F.expr("floor(__j * __length / __a)")).alias("__release"),
         (start + F.expr("ceil((__j + 1) * __length / __a)")).alias("__deadline"),
     )
 
 
+def mix(docs: DataFrame, shares: dict[str, int] | None = None, default_share: int = DEFAULT_SHARE, block_rows: int = BLOCK_ROWS, seed: int = 1) -> DataFrame:
+    """docs(doc_id, source, ...) -> its columns and __source (null: ''), __block (of the
+    source, from 0), __row (in the block), __slot, __release, __deadline: the block
+    keeps __release <= __slot < __deadline. Reading by (__slot, __row) gives the mix.
+
+    Every row is returned once, whatever its nulls; rows that are equal in doc_id keep
+    an order of their own, and columns of docs named like these are replaced. No rows: no
+    rows. A large source is numbered in buckets, so
+    no task takes it whole."""
+    out = _scheduled(docs, shares, default_share, block_rows, seed)
+    own = [c for c in out.columns if c != "__doc"]
+    return out.select(*[F.col("__doc")[c].alias(c) for c in docs.columns if c not in own], *own)
+
+
 def mixed(docs: DataFrame, shares: dict[str, int] | None = None, default_share: int = DEFAULT_SHARE, block_rows: int = BLOCK_ROWS, seed: int = 1) -> DataFrame:
     """docs' rows and columns in the order of the mix: ranges of slots, in order within
     and over the partitions, so the files written are read in that order."""
-    out = mix(docs, shares, default_share, block_rows, seed)
-    return out.repartitionByRange("__slot", "__row").sortWithinPartitions("__slot", "__row").select(*[out[c] for c in docs.columns])
+    out = _scheduled(docs, shares, default_share, block_rows, seed)
+    return out.repartitionByRange("__slot", "__row").sortWithinPartitions("__slot", "__row").select("__doc.*")
