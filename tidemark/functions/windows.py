@@ -31,9 +31,15 @@ transform("var")(lambda s, x, period=14: full(period, F.var_pop(x), x))
 transform("mom")(lambda s, x, period=14: x - s.lag(x, period))
 transform("roc")(lambda s, x, period=14: fdiv(x - s.lag(x, period), s.lag(x, period)))
 transform("rocr")(lambda s, x, period=14: fdiv(x, s.lag(x, period)))
-transform("crossover")(lambda s, a, b: (a > b) & (s.lag(a) <= s.lag(b)))
-transform("crossunder")(lambda s, a, b: (b > a) & (s.lag(b) <= s.lag(a)))
-transform("crossany")(lambda s, a, b: ((a > b) & (s.lag(a) <= s.lag(b))) | ((a < b) & (s.lag(a) >= s.lag(b))))
+def _cross(s, a, b, how):
+    """how(a, b, before a, before b) where there is a row before."""
+    a1, b1 = s.lag(a), s.lag(b)
+    return F.when(a1.isNotNull() & b1.isNotNull(), how(a, b, a1, b1))
+
+
+transform("crossover")(lambda s, a, b: _cross(s, a, b, lambda x, y, x1, y1: (x > y) & (x1 <= y1)))
+transform("crossunder")(lambda s, a, b: _cross(s, b, a, lambda x, y, x1, y1: (x > y) & (x1 <= y1)))
+transform("crossany")(lambda s, a, b: _cross(s, a, b, lambda x, y, x1, y1: ((x > y) & (x1 <= y1)) | ((x < y) & (x1 >= y1))))
 transform("cum_prod")(lambda s, x: F.product(x).over(CUM()))
 transform("zscore")(lambda s, x, window=20: fdiv(x - sma(x, window), full(window, F.stddev_samp(x), x)))
 transform("rolling_corr")(lambda s, x, y, window=20: full(window, F.corr(x, y), x + y))
