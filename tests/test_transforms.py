@@ -128,6 +128,62 @@ def test_reports(spark):
     assert [r.label for r in reports.bar_chart(b, "c", "c").orderBy("position").collect()] == [1, 2, 4]
 
 
+def loop_retracements(h, low, kinds, levels):
+    way, now, deep, top, bottom = [], [], [], 0.0, 0.0
+    for i, k in enumerate(kinds):
+        was = way[-1] if way else 0
+        way.append(k or was)
+        top, bottom = (levels[i] if k == 1 else top), (levels[i] if k == -1 else bottom)
+        x = 0.0
+        if way[i] == -1:
+            x = round(100 * (h[i] - bottom) / (top - bottom), 1)
+        elif way[i] == was == 1:
+            x = round(100 * (top - low[i]) / (top - bottom), 1)
+        now.append(x)
+        deep.append(max(deep[-1] if was == way[i] and deep else 0.0, x))
+    way, now, deep = [0, *way[:-1]], [0.0, *now[:-1]], [0.0, *deep[:-1]]
+    changes = [i for i in range(1, len(way)) if way[i] != way[i - 1]]
+    start = changes[2] + 1 if len(changes) > 2 else len(way)
+    return [[0 if i < start else v for i, v in enumerate(x)] for x in (way, now, deep)]
+
+
+def loop_liquidity(h, low, kinds, levels, share):
+    width, out, used = (max(h) - min(low)) * share, [None] * len(h), set()
+    for k in (1, -1):
+        for i in range(len(h)):
+            if kinds[i] != k or i in used:
+                continue
+            past = [j for j in range(i + 1, len(h)) if (h[j] >= levels[i] + width if k == 1 else low[j] <= levels[i] - width)]
+            end = past[0] if past else 0
+            group = [i] + [j for j in range(i + 1, end or len(h)) if kinds[j] == k and j not in used and abs(levels[j] - levels[i]) <= width]
+            if len(group) > 1:
+                used |= set(group)
+                out[i] = (k, sum(levels[j] for j in group) / len(group), group[-1], end)
+    return out
+
+
+def test_structure_against_loops(spark):
+    c = [100 + 9 * math.sin(i / 2.3) + 5 * math.cos(i / 7.1) + (i * 7919 % 13) / 9 for i in range(220)]
+    h, low = [x + 1 + i % 3 / 7 for i, x in enumerate(c)], [x - 1 - i % 4 / 9 for i, x in enumerate(c)]
+    b = apply(bars(spark, o=c, h=h, l=low, c=c, v=[1] * 220), "swing_highs_lows", "s", swing_length=3)
+    kinds, levels = values(b, "s_high_low"), values(b, "s_level")
+    swings = [k for k in kinds if k]
+    assert len(swings) > 20 and all(a == -b_ for a, b_ in zip(swings, swings[1:])) and kinds[0] and kinds[-1]
+    r = apply(b, "retracements", "r", "s_high_low", "s_level")
+    for name, expected in zip(("direction", "current_retracement", "deepest_retracement"), loop_retracements(h, low, kinds, levels), strict=True):
+        near(values(r, f"r_{name}"), expected)
+    q = apply(b, "liquidity", "q", "s_high_low", "s_level", range_percent=0.15).orderBy("ts").collect()
+    got = [None if x.q_liquidity is None else (x.q_liquidity, round(x.q_level, 9), x.q_end, x.q_swept) for x in q]
+    expected = [x and (x[0], round(x[1], 9), x[2], x[3]) for x in loop_liquidity(h, low, kinds, levels, 0.15)]
+    assert got == expected and any(expected)
+
+
+def test_structure_without_swings(spark):
+    b = apply(bars(spark, o=[1], h=[2], l=[1], c=[1], v=[1]), "swing_highs_lows", "s")
+    row = apply(apply(b, "bos_choch", "b", "s_high_low", "s_level"), "previous_high_low", "p").first()
+    assert row.s_high_low is None and row.b_bos == 0 and row.p_previous_high is None and row.p_broken_high is False
+
+
 def test_registry_is_wide():
     assert len(REGISTRY) >= 300
 

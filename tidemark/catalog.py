@@ -273,3 +273,46 @@ def reference_ratio(spark, sf_dir):
     b = feeds.order_bars(spark, sf_dir)
     out = feeds.with_reference(b, b, "IDX", "1-URGENT")
     return _shown(apply(out, "div", "ratio", "c", "`IDX:1-URGENT:c`"), "ratio")
+
+
+_SWINGS = f"""k AS (SELECT *, row_number() OVER ({_W}) i, count(*) OVER (PARTITION BY asset_id) n, CASE WHEN count(*) OVER a = 10 AND h = max(h) OVER a THEN 1 WHEN count(*) OVER a = 10 AND l = min(l) OVER a THEN -1 END k
+FROM bars WINDOW a AS ({_W} ROWS BETWEEN 4 PRECEDING AND 5 FOLLOWING)), cand AS (SELECT *, lag(k) OVER ({_W}) pk FROM k WHERE k IS NOT NULL),
+runs AS (SELECT *, sum(CASE WHEN k = pk THEN 0 ELSE 1 END) OVER ({_W}) run FROM cand),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY asset_id, run ORDER BY CASE WHEN k = 1 THEN -h ELSE l END, ts) = 1),
+ends AS (SELECT asset_id, arg_min(k, i) fk, arg_max(k, i) lk FROM best GROUP BY 1),
+sw AS (SELECT k.asset_id, k.ts, k.o, k.h, k.l, k.c, k.i - 1 i, CASE WHEN k.i = k.n THEN -lk WHEN k.i = 1 THEN -fk ELSE best.k END hl FROM k LEFT JOIN ends USING (asset_id) LEFT JOIN best ON best.asset_id = k.asset_id AND best.ts = k.ts),
+swings AS (SELECT *, CASE WHEN hl = 1 THEN h WHEN hl = -1 THEN l END lv FROM sw)"""
+
+
+def _swings(spark, sf_dir):
+    return apply(feeds.order_bars(spark, sf_dir), "swing_highs_lows", "s")
+
+
+@query(f"WITH {_ORDER_BARS}, {_SWINGS} SELECT asset_id, {_T}, hl s_high_low, round(lv, 4) s_level FROM swings")
+def swings(spark, sf_dir):
+    return _shown(_swings(spark, sf_dir), "s_high_low", "s_level")
+
+
+@query(f"""WITH {_ORDER_BARS}, {_SWINGS}, q AS (SELECT *, lag(hl) OVER w k0, lead(hl) OVER w k2, lead(hl, 2) OVER w k3, lag(lv) OVER w a, lead(lv) OVER w c2, lead(lv, 2) OVER w d FROM swings WHERE hl IS NOT NULL WINDOW w AS ({_W})),
+m AS (SELECT *, CASE WHEN hl = 1 AND a < c2 AND c2 < lv AND lv < d THEN 1 WHEN hl = -1 AND a > c2 AND c2 > lv AND lv > d THEN -1 ELSE 0 END bos, CASE WHEN hl = 1 AND d > lv AND lv > a AND a > c2 THEN 1
+WHEN hl = -1 AND d < lv AND lv < a AND a < c2 THEN -1 ELSE 0 END choch FROM q WHERE k0 = -hl AND k2 = -hl AND k3 = hl),
+b AS (SELECT m.asset_id, m.ts, m.i, m.bos, m.choch, m.lv, min(s.i) j FROM m JOIN swings s ON s.asset_id = m.asset_id AND s.i >= m.i + 2 AND CASE WHEN m.hl = 1 THEN s.h > m.lv ELSE s.l < m.lv END WHERE m.bos + m.choch <> 0 GROUP BY ALL),
+r AS (SELECT * FROM (SELECT *, min(j) OVER ({_W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) nx FROM b) WHERE nx IS NULL OR j < nx)
+SELECT s.asset_id, strftime(s.ts, '%Y-%m-%d %H:%M:%S') ts, coalesce(bos, 0) b_bos, coalesce(choch, 0) b_choch, round(coalesce(r.lv, 0), 4) b_level, coalesce(j, 0) b_broken_index FROM swings s LEFT JOIN r ON r.asset_id = s.asset_id AND r.ts = s.ts""")
+def structure_breaks(spark, sf_dir):
+    return _shown(apply(_swings(spark, sf_dir), "bos_choch", "b", "s_high_low", "s_level"), "b_bos", "b_choch", "b_level", "b_broken_index")
+
+
+@query(f"""WITH {_EVENT_BARS}, d AS (SELECT asset_id, date_trunc('day', ts) r, max(h) dh, min(l) dl FROM bars GROUP BY 1, 2), p AS (SELECT asset_id, r, lag(r) OVER w pr, lag(dh) OVER w ph, lag(dl) OVER w pl FROM d WINDOW w AS (PARTITION BY asset_id ORDER BY r)),
+j AS (SELECT bars.*, pr, ph, pl FROM bars ASOF LEFT JOIN p ON bars.asset_id = p.asset_id AND bars.ts > p.r)
+SELECT asset_id, {_T}, round(ph, 4) p_previous_high, round(pl, 4) p_previous_low, coalesce(bool_or(h > ph) OVER w, false) p_broken_high, coalesce(bool_or(l < pl) OVER w, false) p_broken_low
+FROM j WINDOW w AS (PARTITION BY asset_id, pr ORDER BY ts)""")
+def previous_day(spark, sf_dir):
+    return _shown(apply(feeds.event_bars(spark, sf_dir), "previous_high_low", "p"), "p_previous_high", "p_previous_low", "p_broken_high", "p_broken_low")
+
+
+@query()
+def structure_levels(spark, sf_dir):
+    """Retracements and liquidity; tested against plain loops."""
+    out = _chain(_swings(spark, sf_dir), ("retracements", "r", ("s_high_low", "s_level"), {}), ("liquidity", "q", ("s_high_low", "s_level"), {"range_percent": 0.01}))
+    return _shown(out, *[c for c in out.columns if c.startswith(("r_", "q_"))])

@@ -1,3 +1,3 @@
 """Transforms that return columns; importing the package registers them all."""
 
-from . import candles, elementwise, recurrences, windows  # noqa: F401
+from . import candles, elementwise, recurrences, structure, windows  # noqa: F401
