@@ -1,5 +1,8 @@
+import random
+
 import corpus_pipeline
 import __spark_entry__ as entry
+from tidemark.llm import minhash
 
 
 def test_stages(spark):
@@ -14,6 +17,22 @@ def test_stages(spark):
     assert out.columns[-2:] == ["shard", "slot"] and 0 < out.count() < docs.count()
 
 
+def test_near_duplicate_stage_links_from_80_percent(spark):
+    """Texts of 100 shingles; 10 or 11 of them changed leave a similarity of 0.82 or 0.80."""
+    rng = random.Random(8)
+    rows, expected = [], set()
+    for i in range(40):
+        base = ["u%d" % rng.randrange(10**6) for _ in range(104)]
+        cut = 10 + i % 4  # of the shingles at the end: (100 - cut) / (100 + cut) in common
+        near = [*base[: 104 - cut], *["z%d.%d" % (i, k) for k in range(cut)]]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+        expected |= {2 * i} if 10 * (100 - cut) >= 8 * (100 + cut) else {2 * i, 2 * i + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    assert {r.doc_id for r in stage(spark, docs, None).collect()} == expected
+    assert {r.doc_id for r in minhash.deduplicate(docs).collect()} == {d for d, _ in rows}
+
+
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} == {x[: x.index("_") + 1] for x in entry.queries() if x.startswith("op")}
     assert "pipeline" in entry.queries()

@@ -4,8 +4,9 @@ Each permutation is evaluated once per shingle and gives two signature values, i
 minimum and its maximum, so 72 hash evaluations make a signature of 144 values. 24
 bands of 6 values (three permutations, their minima and maxima) find a pair of
 similarity 0.85 with probability 1 - (1 - 0.85^6)^24: one in 8e4 is missed at the
-threshold itself, one in 8e7 at 0.9. Every pair that shares a band is then connected
-already, ruled out by an exact bound, or compared on its full shingle sets.
+threshold itself, one in 8e7 at 0.9. Other thresholds take as many bands as keep that
+rate (38 at 0.8). Every pair that shares a band is then connected already, ruled out by
+an exact bound, or compared on its full shingle sets.
 
 The sides of the large joins grow with the corpus, so they are merge joins at every
 size (hint), never broadcasts that turn into something else on larger input.
@@ -13,6 +14,7 @@ size (hint), never broadcasts that turn into something else on larger input.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +27,11 @@ from .common import cut, written
 from .components import components
 
 SHINGLE = 5
-PERMUTATIONS = 72
 BAND_PERMUTATIONS = 3
-BANDS = PERMUTATIONS // BAND_PERMUTATIONS
+#: The similarity of linked documents where none is given, in percent.
 PERCENT = 85
+#: The share of pairs at the threshold itself that may share no band.
+MISSED = 1.2e-5
 #: Counters of the profile that bounds what two sets share.
 PARTS = 128
 #: Words whose hashes a task keeps at once, a matter of speed only.
@@ -44,12 +47,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _draws(seed: int) -> tuple[np.ndarray, np.ndarray]:
+def bands_for(percent: int) -> int:
+    """How many bands find pairs of this similarity."""
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-((min(percent, 99) / 100) ** (2 * BAND_PERMUTATIONS)))))
+
+
+def _draws(seed: int, permutations: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     high = np.iinfo(np.uint64).max
     return (
-        rng.integers(0, high, PERMUTATIONS, dtype=np.uint64) | np.uint64(1),
-        rng.integers(0, high, PERMUTATIONS, dtype=np.uint64),
+        rng.integers(0, high, permutations, dtype=np.uint64) | np.uint64(1),
+        rng.integers(0, high, permutations, dtype=np.uint64),
     )
 
 
@@ -84,25 +92,27 @@ class _Shingler:
 
 def _bands(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Band hashes from the minima and maxima of every permutation."""
-    lo = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    hi = np.zeros(PERMUTATIONS, dtype=np.uint64)
+    bands = len(a) // BAND_PERMUTATIONS
+    lo = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
+    hi = np.zeros(len(a), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(x), 8192):
             h = a[:, None] * x[None, i : i + 8192] + b[:, None]
             lo, hi = np.minimum(lo, h.min(axis=1)), np.maximum(hi, h.max(axis=1))
-        rows = np.concatenate([lo.reshape(BANDS, -1), hi.reshape(BANDS, -1)], axis=1)
-        out = np.arange(1, BANDS + 1, dtype=np.uint64)
+        rows = np.concatenate([lo.reshape(bands, -1), hi.reshape(bands, -1)], axis=1)
+        out = np.arange(1, bands + 1, dtype=np.uint64)
         for j in range(rows.shape[1]):
             out = _mix(out * _MUL + rows[:, j])
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, seed: int = 1) -> DataFrame:
+def signatures(docs: DataFrame, seed: int = 1, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands) of every row; set_key is a 128-bit digest
     of the shingle set, null where there are no words."""
+    width = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _draws(seed)
+        a, b = _draws(seed, width * BAND_PERMUTATIONS)
         shingles = _Shingler()
         for batch in batches:
             n, keys, bands, ends = [], [], [], [0]
@@ -112,7 +122,7 @@ def signatures(docs: DataFrame, seed: int = 1) -> DataFrame:
                 keys.append(xxhash.xxh128_digest(x.tobytes()) if len(x) else None)
                 if len(x):
                     bands.append(_bands(x, a, b))
-                ends.append(ends[-1] + (BANDS if len(x) else 0))
+                ends.append(ends[-1] + (width if len(x) else 0))
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
@@ -136,20 +146,20 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(a, b) whose sets reach the similarity. sets(doc_id, n, common):
     the number of all shingles, and those that another document has too."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("common").alias("sa")).hint("merge")
     two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("common").alias("sb")).hint("merge")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct()
+    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct()
 
 
-def _can_link(n: str, m: str, k: str, j: str) -> F.Column:
+def _can_link(n: str, m: str, k: str, j: str, percent: int) -> F.Column:
     """Whether sets of n and m shingles, k and j of them not theirs alone, can reach the
     similarity: they share min(k, j) at most."""
     share = F.least(k, j)
-    return 100 * share >= PERCENT * (F.col(n) + F.col(m) - share)
+    return 100 * share >= percent * (F.col(n) + F.col(m) - share)
 
 
 def _reduced(sets: DataFrame) -> DataFrame:
@@ -176,12 +186,13 @@ def _profiles(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "common").mapInArrow(run, "doc_id long, profile array<int>")
 
 
-def near_duplicates(docs: DataFrame, seed: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, seed: int = 1, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept.
+    Pairs whose similarity is at least percent in 100 are linked.
 
     Rows of equal shingle sets form a class; classes that share a band are candidates.
     Shingles that only one candidate has cannot be shared, so a candidate with more
-    than 15 in 100 of them links with nothing, and they bound every pair (exactly).
+    than 100 - percent in 100 of them links with nothing, and they bound every pair (exactly).
     First every candidate is compared with one center of each of its bands, the one
     with the least of its own, and the links give components. A band whose members are
     then still in several components has its rest (all but its largest component)
@@ -192,7 +203,7 @@ def near_duplicates(docs: DataFrame, seed: int = 1) -> DataFrame:
     Null or word-less texts: an empty set, linked with nothing, kept. Null doc_id: such
     rows give no links; kept unless their text's class has an id. Rows that share a
     doc_id count as one document. Other columns of docs are not read."""
-    sig = written(signatures(docs, seed), "minhash-signatures")
+    sig = written(signatures(docs, seed, percent), "minhash-signatures")
     classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     banded = classes.where("rep is not null").select("rep", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("bucket")
@@ -200,15 +211,15 @@ def near_duplicates(docs: DataFrame, seed: int = 1) -> DataFrame:
 
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     full = shingle_sets(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(needed.hint("merge"), "doc_id", "left_semi"))
-    sets = written(_reduced(written(full, "minhash-sets")).where(100 * F.col("k") >= PERCENT * F.col("n")), "minhash-reduced")
+    sets = written(_reduced(written(full, "minhash-sets")).where(100 * F.col("k") >= percent * F.col("n")), "minhash-reduced")
 
     able = sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("k").alias("k")).withColumnRenamed("doc_id", "rep")
     members = cut(members.join(able.hint("merge"), "rep"))
     nearest = F.struct((1 - F.col("k") / F.col("n")).alias("own"), "rep", "n", "k")
     centers = members.groupBy("bucket").agg(F.min(nearest).alias("c")).select("bucket", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("c.k").alias("ka"))
-    first = members.join(centers.hint("merge"), "bucket").where((F.col("rep") != F.col("a")) & _can_link("n", "na", "k", "ka"))
+    first = members.join(centers.hint("merge"), "bucket").where((F.col("rep") != F.col("a")) & _can_link("n", "na", "k", "ka", percent))
     first = cut(first.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
-    near = cut(components(_confirmed(first, sets)))
+    near = cut(components(_confirmed(first, sets, percent)))
 
     at = members.join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     parts = at.groupBy("bucket", "part").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
@@ -218,18 +229,18 @@ def near_duplicates(docs: DataFrame, seed: int = 1) -> DataFrame:
     open_ = cut(open_.join(lists, "rep").join(profiles, "rep"))
     rest = open_.where("part <> main").toDF(*[f"{c}1" if c not in ("bucket", "main") else c for c in open_.columns]).drop("main")
     others = open_.toDF(*[f"{c}2" if c not in ("bucket", "main") else c for c in open_.columns])
-    apart = (F.col("part1") != F.col("part2")) & ((F.col("part2") == F.col("main")) | (F.col("rep1") < F.col("rep2"))) & _can_link("n1", "n2", "k1", "k2")
+    apart = (F.col("part1") != F.col("part2")) & ((F.col("part2") == F.col("main")) | (F.col("rep1") < F.col("rep2"))) & _can_link("n1", "n2", "k1", "k2", percent)
     # a pair of several bands is taken in one; the profiles bound what it can share
     once = F.array_min(F.array_intersect("own1", "own2")) == F.col("bucket")
     bound = F.aggregate(F.zip_with("profile1", "profile2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
     pairs = (
         rest.join(others, "bucket")
-        .where(apart & once & (100 * bound >= PERCENT * (F.col("n1") + F.col("n2") - bound)))
+        .where(apart & once & (100 * bound >= percent * (F.col("n1") + F.col("n2") - bound)))
         .select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    more = _confirmed(pairs, sets)
+    more = _confirmed(pairs, sets, percent)
     lifted = more.join(near.toDF("a", "pa"), "a", "left").join(near.toDF("b", "pb"), "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
     joined = cut(components(lifted))
     final = (
@@ -247,8 +258,8 @@ def near_duplicates(docs: DataFrame, seed: int = 1) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, seed: int = 1) -> DataFrame:
+def deduplicate(docs: DataFrame, seed: int = 1, percent: int = PERCENT) -> DataFrame:
     """docs without the rows that near_duplicates does not keep; of rows that are
     equal in doc_id and text one stays. All columns are returned as they came."""
-    dropped = near_duplicates(docs, seed).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    dropped = near_duplicates(docs, seed, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(dropped, docs["doc_id"] == F.col("__gone"), "left_anti").dropDuplicates(["doc_id", "text"])
