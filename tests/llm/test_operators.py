@@ -244,6 +244,27 @@ def test_leaks(spark):
     assert decontam.leaks(empty(docs), bench).count() == 0 and decontam.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_are_those_of_full_alignment(spark):
+    """Copies edited at every 3rd to 6th word, by other words or more words, with and
+    without the verbatim item elsewhere, against an alignment of all with all."""
+    rng = random.Random(9)
+    w = ["v%d" % i for i in range(120)]
+    items = [(i, [rng.choice(w) for _ in range(rng.choice([3, 5, 6, 20, 37]))]) for i in range(24)]
+    docs = [[rng.choice(w) for _ in range(60)] for _ in range(10)]
+    for _, x in items:
+        for step in (3, 4, 5, 6):
+            swapped = [t if k % step else "e%d" % k for k, t in enumerate(x, 1)]
+            longer = [t for k, y in enumerate(x, 1) for t in ([y] if k % step else [y, "f%d" % k])]
+            docs += [[*docs[step], *swapped, "g"], ["g", *longer, *docs[step]]]
+    docs += [x for _, x in items[::2]]
+    rows = [(i, " ".join(x)) for i, x in enumerate(docs)]
+    bench = [(i, " ".join(x)) for i, x in items]
+    expected = {(i, j): s for i, x in enumerate(docs) for j, y in items if (s := smith_waterman(y, x)) >= 0.6}
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == set(expected)
+    assert all(math.isclose(r.score, expected[r.doc_id, r.item_id]) for r in got)
+
+
 def test_kneser_ney_sums_to_one_and_matches_a_plain_model(spark):
     import numpy as np
 

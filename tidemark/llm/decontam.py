@@ -1,11 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark is a stated query set, taken in blocks of bounded size, each broadcast;
 every document meets every block, whole and in its own task, so no text is shuffled.
-Of an item's word trigrams the seeds are those that are rarest in the corpus among any
-WINDOW neighbours: where a passage is common, its rarest trigrams still are seeds, so
-rarity never hides an item. A document's seed hits, gathered along diagonals, open
-windows of its words that are aligned with the item.
+Every word bigram of an item is a seed, whatever its count: an alignment of m matches and
+e edits has a run of at least m / (e + 1) matches, and one that reaches the similarity has
+more matches than e + 1, so it holds a bigram (items too short for that have single words
+as seeds). A document's seed hits, gathered along diagonals, open windows of its words as
+wide as the gaps of such an alignment can make them. Windows that have too few of the
+item's words to reach the similarity are left out, which is exact; the others are aligned
+with the item. The result is that of aligning every document with every item.
 """
 
 from __future__ import annotations
@@ -17,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 3
-WINDOW = 3
 #: An alignment must score this share of the item's own.
 SIMILARITY = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -32,10 +33,16 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (x.strip(_TRIM) for x in (text or "").lower().split()) if w]
 
 
+def gram_of(n: int, similarity: float) -> int:
+    """The words of a seed of an item of n words."""
+    # m matches and e edits reach it with e <= 2 m - 2 similarity n; two in a row if m > e + 1
+    return 2 if n * (MATCH * similarity - 1) > 1 + 1e-9 else 1
+
+
 class _Block:
-    """A block of items: word ids, and where each trigram stands in which item."""
+    """A block of items: word ids, and where each seed stands in which item."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], similarity: float) -> None:
         self.ids: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item, text in items:
@@ -43,43 +50,47 @@ class _Block:
             if x:
                 self.items.append((item, np.array(x, np.int64)))
         self.base = len(self.ids) + 1
-        self.size = [min(GRAM, len(x)) for _, x in self.items]
-        grams = [self.grams(x, k) for (_, x), k in zip(self.items, self.size, strict=True)]
-        self.per_item = grams
-        self.all = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
+        self.similarity = similarity
+        size = [gram_of(len(x), similarity) for _, x in self.items]
+        self.sizes = sorted(set(size))
+        grams = [self.grams(x, k) for (_, x), k in zip(self.items, size, strict=True)]
+        codes = np.concatenate(grams) if grams else np.zeros(0, np.int64)
+        order = np.argsort(codes, kind="stable")
+        self.seed_items = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
+        self.seed_places = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else codes
+        self.seeds, self.first = np.unique(codes[order], return_index=True)
+        self.n_places = np.diff(np.append(self.first, len(codes)))
+        #: Each item's distinct words and how often it has them.
+        self.words = [np.unique(x, return_counts=True) for _, x in self.items]
 
     def grams(self, x: np.ndarray, k: int) -> np.ndarray:
-        """Codes of the k-word windows; -1 where a word is in no item."""
-        n = max(0, len(x) - k + 1)
-        code, ok = np.full(n, k, np.int64), np.ones(n, bool)
-        for i in range(k):
-            part = x[i : i + n]
-            code, ok = code * self.base + part, ok & (part > 0)
-        return np.where(ok, code, -1)
-
-    def hits(self, x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and codes of a document's windows that are in the sorted codes of."""
-        at, codes = [], []
-        for k in sorted(set(self.size)):
+        """Codes of the k-word windows, negative for single words; 0 where a word is in no item."""
+        if k == 1:
+            return -x
+        return np.where((x[:-1] > 0) & (x[1:] > 0), x[:-1] * self.base + x[1:], 0)
+
+    def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items of a document's seed hits and their diagonals, in that order."""
+        at, seeds = [], []
+        for k in self.sizes:
             g = self.grams(x, k)
-            if len(g) and len(of):
-                j = np.searchsorted(of, g)
-                i = np.flatnonzero(of[np.minimum(j, len(of) - 1)] == g)
-                at.append(i)
-                codes.append(g[i])
-        return (np.concatenate(at), np.concatenate(codes)) if at else (np.zeros(0, np.int64),) * 2
-
-    def ranked(self, counts: dict[int, int]) -> None:
-        """Choose the seeds: the rarest window of each WINDOW neighbouring ones."""
-        for i, g in enumerate(self.per_item):
-            c = np.array([counts.get(int(x), 0) for x in g])
-            for j in range(max(1, len(g) - WINDOW + 1)):
-                at = j + int(np.argmin(c[j : j + WINDOW]))
-                places = self.seeds.setdefault(int(g[at]), [])
-                if (i, at) not in places:
-                    places.append((i, at))
-        self.sorted_seeds = np.array(sorted(self.seeds), np.int64)
+            i = np.flatnonzero(g)
+            j = np.minimum(np.searchsorted(self.seeds, g[i]), len(self.seeds) - 1)
+            hit = self.seeds[j] == g[i]
+            at.append(i[hit])
+            seeds.append(j[hit])
+        at, seeds = np.concatenate(at), np.concatenate(seeds)
+        n = self.n_places[seeds]
+        place = np.repeat(self.first[seeds] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        items, diagonals = self.seed_items[place], np.repeat(at, n) - self.seed_places[place]
+        order = np.lexsort((diagonals, items))
+        return items[order], diagonals[order]
+
+    def shared(self, item: int, x: np.ndarray) -> int:
+        """How many of the item's words could match one of x each."""
+        words, n = self.words[item]
+        s = np.sort(x)
+        return int(np.minimum(n, np.searchsorted(s, words, "right") - np.searchsorted(s, words)).sum())
 
     def encode(self, text: str | None) -> np.ndarray:
         get = self.ids.get
@@ -115,27 +126,25 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int]:
 
 
 def _found(block: _Block, x: np.ndarray) -> Iterator[tuple[int, float, int, int, int]]:
-    at, codes = block.hits(x, block.sorted_seeds)
-    by: dict[int, list[tuple[int, int]]] = {}
-    for i, g in zip(at.tolist(), codes.tolist(), strict=True):
-        for item, j in block.seeds[g]:
-            by.setdefault(item, []).append((i - j, i))
-    for item, hits in sorted(by.items()):
-        name, y = block.items[item]
-        slack = len(y) // 2 + 2
+    items, diagonals = block.hits(x)
+    starts = np.flatnonzero(np.diff(items, prepend=-1))
+    whole = np.bincount(x, minlength=block.base)
+    for i, hits in zip(items[starts].tolist(), np.split(diagonals, starts[1:]), strict=bool(len(starts))):
+        name, y = block.items[i]
+        words, n = block.words[i]
+        least = block.similarity * len(y) - 1e-9  # matches that an alignment must have
+        if np.minimum(n, whole[words]).sum() < least:
+            continue
+        # with at most len(y) matches, more gaps than this end below the similarity
+        slack = int(MATCH * (1 - block.similarity) * len(y) / -GAP) + 1
+        cuts = np.flatnonzero(np.diff(hits) > slack)
         best = (0.0, 0, 0)
-        hits.sort()
-        low = high = hits[0][0]
-        spans = []
-        for d, _ in [*hits[1:], (float("inf"), 0)]:
-            if d > high + slack:
-                spans.append((max(0, low - slack), min(len(x), high + len(y) + slack)))
-                low = d
-            high = d
-        for a, b in spans:
-            share, s, e = align(y, x[a:b])
-            if share > best[0]:
-                best = (share, a + s, a + e)
+        for low, high in zip(hits[np.append(0, cuts + 1)].tolist(), hits[np.append(cuts, len(hits) - 1)].tolist(), strict=True):
+            a, b = max(0, low - slack), min(len(x), high + len(y) + slack)
+            if block.shared(i, x[a:b]) >= least:
+                share, s, e = align(y, x[a:b])
+                if share > best[0]:
+                    best = (share, a + s, a + e)
         yield name, *best, len(hits)
 
 
@@ -158,29 +167,20 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
     document, from 0; the seed hits that led there).
 
     Null or empty texts on either side leak nothing, null item_ids are left out, and a
-    null doc_id is returned as null. Repeated rows give one row. Items of fewer words
-    than a seed are their own seed. No item or document is cut or left out."""
+    null doc_id is returned as null. Repeated rows give one row. No item or document is
+    cut or left out."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     schema = "doc_id long, item_id long, score double, first_word long, end_word long, seeds long"
     out = spark.createDataFrame([], schema)
     for items_of in _blocks(items):
-        block = _Block(items_of)
+        block = _Block(items_of, similarity)
+        if not block.items:
+            continue
         sent = spark.sparkContext.broadcast(block)
 
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             b = sent.value
-            for batch in batches:
-                codes = [b.hits(b.encode(t), b.all)[1] for t in batch.column(1).to_pylist()]
-                code, c = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], names=["code", "c"])
-
-        counts = texts.mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c")).collect()
-        block.ranked(dict(map(tuple, counts)))  # no more codes than the block has windows
-        ranked = spark.sparkContext.broadcast(block)
-
-        def find(batches: Iterator[pa.RecordBatch], ranked=ranked) -> Iterator[pa.RecordBatch]:
-            b = ranked.value
             for batch in batches:
                 rows = [(d, *f) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in _found(b, b.encode(t)) if f[1] >= similarity]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
