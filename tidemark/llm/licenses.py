@@ -2,7 +2,8 @@
 
 A text is lower-cased (A to Z) and every run of other characters than digits, a to z
 and non-ASCII ones becomes one blank, so rules are regexes over blank-separated words.
-A rule is tried only where its keyword stands as a word. Detections are resolved by interval
+A rule is tried only where its keyword stands as a word, or joined to a version as in
+gplv2. Detections are resolved by interval
 containment: one that lies within another of at least its priority is suppressed. All
 of it is Spark expressions on the row; nothing is shuffled.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Fixed values: (label, keyword, priority, regex); the keyword is a word of every match. Priority 3 is a license's own text or
+# Fixed values: (label, keyword, priority, regex); the keyword is a word of every match, or one of JOINED with its version. Priority 3 is a license's own text or
 # its identifier, 2 its full name, 1 a mention. `#` stands for a version number in
 # words, as "2 0" or "3".
 _HAND = [
@@ -154,6 +155,9 @@ def _blanks(text: str) -> str:
     return f"(length({text}) - length(replace({text}, ' ', '')))"
 
 
+#: Keywords that rules also match joined to a version.
+JOINED = ("agpl", "gpl", "lgpl", "mpl")
+
 # A rule's matches: the pieces between them give their places, in characters.
 _DETECTIONS = r"""
 flatten(transform(flatten(transform(__keys, k -> __rules[k])), r ->
@@ -197,7 +201,11 @@ def scan(docs: DataFrame, rules: list[tuple[str, str, int, str]] | None = None)
         based = based | F.contains("__words", F.lit(f" {phrase} "))
     found = words.withColumn("__pieces", F.when(based, F.split("__words", base, -1)))
     found = found.withColumn("__base", F.when(based, F.expr(f"regexp_extract_all(__words, '{base}', 0)")).otherwise(F.expr("cast(array() as array<string>)")))
-    present = F.array_intersect(F.split("__words", " "), F.array(*[F.lit(key) for key in by_key]))
+    near = F.lit(False)
+    for key in JOINED:
+        near = near | F.contains("__words", F.lit(f" {key}"))
+    joined = F.when(near, F.expr(f"regexp_extract_all(__words, '(?<= )({'|'.join(JOINED)})v?[0-9]+(?= )', 1)")).otherwise(F.expr("cast(array() as array<string>)"))
+    present = F.array_intersect(F.concat(F.split("__words", " "), joined), F.array(*[F.lit(key) for key in by_key]))
     found = found.withColumn("__keys", present).withColumn("__rules", F.when(F.size("__keys") > 0, table))
     found = found.withColumn("__all", F.expr(f"if(__rules is null, null, {_DETECTIONS})"))
     found = found.withColumn("detections", F.expr(f"if(__all is null, cast(array() as array<struct<a:int,b:int,p:int,label:string>>), {_SUPPRESSED})"))
