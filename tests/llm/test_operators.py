@@ -326,6 +326,22 @@ def test_main_text(spark):
     assert style_tree.extract(empty(pages)).count() == 0
 
 
+def test_main_text_of_deep_pages(spark):
+    """Surplus end tags, and menus, at any depth."""
+    deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    page = f"<body><div><article><p>first</p>{deep(250, '')}<p>kept</p></article></div>"
+    menu = f"<body>{deep(1000, '<p>text</p><nav>menu</nav>')}<footer>foot</footer>"
+    unclosed = "<body>" + "<span>" * 100_000 + "text</b><nav>menu</nav><p>more</p>"
+    assert [style_tree.main_text(x) for x in (page, menu, unclosed)] == ["first\n\nkept", "text", "text\n\nmore"]
+    nodes = []
+    style_tree.blocks(deep(1000, "<div class='x'>a</div>b") + "c", nodes=nodes)
+    assert [n.leaves for n in nodes] == [1] + [2] * 1000
+    same = []
+    style_tree.blocks("<div><p>a</p><p>b</p></div><div>a<br><p>b</p></div><div><p>b</p><p>a</p></div>", nodes=same)
+    text = {(n.tag, n.leaves): [m.content for m in same if (m.tag, m.leaves) == ("div", 2)] for n in same}["div", 2]
+    assert text[0] == text[1] != text[2]
+
+
 def test_token_counts_at_every_prefix(spark):
     from tokenizers import Tokenizer
 

@@ -52,14 +52,18 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+# Lines are hashed together as a polynomial in _BASE.
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
+
+
 class _Node:
-    __slots__ = ("tag", "path", "low", "article", "plain", "kids", "text", "leaves")
+    __slots__ = ("tag", "path", "low", "article", "plain", "kids", "first", "leaves", "content")
 
-    def __init__(self, tag: str, path: str, low: bool, article: bool, plain: bool) -> None:
+    def __init__(self, tag: str, path: int, low: bool, article: bool, plain: bool) -> None:
         self.tag, self.path, self.low, self.article, self.plain = tag, path, low, article, plain
         self.kids: list[str] = []
-        self.text: list[str] = []
-        self.leaves = 0
+        #: The page's lines before it; how many are in it, and the hash of those.
+        self.first = self.leaves = self.content = 0
 
 
 def _opened(parent: _Node, tag: str, attributes: str) -> _Node:
@@ -74,15 +78,20 @@ def _opened(parent: _Node, tag: str, attributes: str) -> _Node:
         low = low or bool(name) and tag not in ("html", "body", "article", "main") and bool(_LOW_NAMES.search(name))
     key = ".".join([tag, *sorted(name.split())]) if name else tag
     article = parent.article or main
-    return _Node(tag, f"{parent.path}/{key}", low, article, article and (main or parent.plain or parent.tag in ("article", "main")) and (main or tag in _PLAIN and not name))
+    return _Node(tag, key_of(f"{parent.path}/{key}"), low, article, article and (main or parent.plain or parent.tag in ("article", "main")) and (main or tag in _PLAIN and not name))
 
 
 def blocks(html: str | None, low_paths: frozenset[int] = frozenset(), nodes: list[_Node] | None = None) -> list[tuple[bool, str]]:
     """(inside an article, text) of the page's blocks that are not low, in page order.
-    nodes gets the closed elements that the style tree judges."""
+    nodes gets the closed elements that the style tree judges. The work grows with the
+    page's length whatever its depth: an element's lines are those between its start and
+    its end, so hashes of the page's first lines give the hash of any element's."""
     text = html or ""
-    root = _Node("", "", False, False, False)
+    root = _Node("", 0, False, False, False)
     stack, out, run, at = [root], [], [], 0
+    places: dict[str, list[int]] = {}  # where on the stack each tag stands
+    open_blocks: list[int] = []  # where blocks do
+    hashes, powers = [0], [1]  # of the lines so far, and of _BASE
 
     def flush() -> None:
         line = " ".join(entities.unescape("".join(run)).split())
@@ -90,16 +99,19 @@ def blocks(html: str | None, low_paths: frozenset[int] = frozenset(), nodes: lis
         if line:
             top = stack[-1]
             if nodes is not None:
-                for n in stack:
-                    if not n.plain:
-                        n.text.append(line)
-                        n.leaves += 1
+                hashes.append((hashes[-1] * _BASE + key_of(line)) % _PRIME)
+                powers.append(powers[-1] * _BASE % _PRIME)
             if not top.low:
                 out.append((top.article, line))
 
     def close() -> None:
         n = stack.pop()
-        if nodes is not None and n.text and not n.plain:
+        places[n.tag].pop()
+        if n.tag in _BLOCK:
+            open_blocks.pop()
+        if nodes is not None and not n.plain and len(hashes) - 1 > n.first:
+            n.leaves = len(hashes) - 1 - n.first
+            n.content = (hashes[-1] - hashes[n.first] * powers[n.leaves]) % _PRIME
             nodes.append(n)
 
     for m in _TOKEN.finditer(text):
@@ -115,13 +127,12 @@ def blocks(html: str | None, low_paths: frozenset[int] = frozenset(), nodes: lis
         elif tag in _SPACE:
             run.append(" ")
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag not in _BLOCK and any(n.tag in _BLOCK for n in stack[i + 1 :]):
-                        break  # an inline end tag does not close blocks
+            if places.get(tag):
+                i = places[tag][-1]
+                # an inline end tag does not close blocks
+                if tag in _BLOCK or not open_blocks or open_blocks[-1] < i:
                     while len(stack) > i:
                         close()
-                    break
             continue
         while len(stack) > 1 and tag in _CLOSED_BY.get(stack[-1].tag, ()):
             close()
@@ -134,13 +145,16 @@ def blocks(html: str | None, low_paths: frozenset[int] = frozenset(), nodes: lis
         stack[-1].kids.append(tag)
         if tag in _VOID or m[4].endswith("/"):
             continue
-        if len(stack) < 200:
-            n = _opened(stack[-1], tag, m[4])
-            if low_paths and not n.low and not n.plain:
-                n.low = key_of(n.path) in low_paths
-            if n.low and not stack[-1].low and tag not in _BLOCK:
-                flush()
-            stack.append(n)
+        n = _opened(stack[-1], tag, m[4])
+        if low_paths and not n.low and not n.plain:
+            n.low = n.path in low_paths
+        if n.low and not stack[-1].low and tag not in _BLOCK:
+            flush()
+        n.first = len(hashes) - 1
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _BLOCK:
+            open_blocks.append(len(stack))
+        stack.append(n)
     run.append(text[at:])
     flush()
     while len(stack) > 1:
@@ -177,7 +191,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 nodes: list[_Node] = []
                 blocks(page, nodes=nodes)
                 for n in nodes:
-                    rows.append((host, key_of(n.path), digest, key_of(" ".join(n.kids)), key_of("\n".join(n.text)), n.leaves))
+                    rows.append((host, n.path, digest, key_of(" ".join(n.kids)), n.content, n.leaves))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.string(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "node", "page", "style", "content", "leaves"])
