@@ -302,6 +302,14 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     assert sum(good) >= 0.98 * len(good) and sum(junk) <= 0.5 * len(junk)
 
 
+def test_quality_thresholds_are_near_the_quantile(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality.score(docs, labels).join(labels, "doc_id").collect()
+    junk = [r.kept for r in rows if r.quality == 0]
+    toxic = [r.kept for r in rows if r.toxic]
+    assert sum(junk) <= 0.03 * len(junk) and sum(toxic) <= 0.6 * len(toxic)
+
+
 def test_quality_on_odd_rows(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(i, 1, None, "z") for i in range(100, 160)] + [(None, 1, 0, "z")], "doc_id long, quality int, toxic int, text string")
