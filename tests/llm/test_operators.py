@@ -274,24 +274,65 @@ def test_leaks_are_those_of_full_alignment(spark):
     assert all(math.isclose(r.score, expected[r.doc_id, r.item_id]) for r in got)
 
 
-def test_kneser_ney_sums_to_one_and_matches_a_plain_model(spark):
-    import numpy as np
-
-    texts = ["abc abd", "abab! 12", "the theatre", None, ""]
-    counts = quality.window_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
-    plain = {}
-    for t in filter(None, texts):
-        for c in quality.windows(t):
-            plain[int(c)] = plain.get(int(c), 0) + 1
-    assert {r.code: r.c for r in counts.collect()} == plain
-    model = quality.kneser_ney(counts)
-    table = np.exp(-quality.log_table(model).astype(np.float64) / quality.SCALE).reshape(-1, quality.CLASSES)
-    assert np.allclose(table.sum(axis=1), 1, atol=0.02)
-    seen = {(r.k, r.code): r.p for r in model.collect() if r.p is not None}
-    k2 = {}
-    for c in plain:  # continuation counts by definition
-        k2.setdefault(c % quality.CLASSES**3, set()).add(c)
-    assert {c for k, c in seen if k == 3} == set(k2)
+def plain_kneser_ney(texts, asked):
+    """Modified Kneser-Ney by its definition: the probability of each asked window."""
+    n = quality.ORDER
+    levels = [{} for _ in range(n + 1)]
+    for t in texts:
+        t = "\x01" * (n - 1) + t + "\x02"
+        for i in range(len(t) - n + 1):
+            levels[n][t[i : i + n]] = levels[n].get(t[i : i + n], 0) + 1
+    for k in range(n - 1, 0, -1):
+        before = {}
+        for g in levels[k + 1]:
+            before.setdefault(g[1:], set()).add(g[0])
+        levels[k] = {g: len(v) for g, v in before.items()}
+    chars = {c for g in asked for c in g[-1]} | set(levels[1])
+    ds = [None] + [quality.discounts([sum(1 for c in levels[k].values() if c == j) for j in (1, 2, 3, 4)]) for k in range(1, n + 1)]
+
+    def p(g):
+        if not g:
+            return 1 / len(chars)
+        k, q = len(g), p(g[1:])
+        after = [c for h, c in levels[k].items() if h[:-1] == g[:-1]]
+        if not after:
+            return q
+        off = lambda c: ds[k][min(c, 3) - 1] if c else 0
+        c = levels[k].get(g, 0)
+        return (c - off(c) + sum(map(off, after)) * q) / sum(after)
+
+    return {g: p(g) for g in asked}
+
+
+def test_kneser_ney_is_the_plain_model(spark):
+    texts = ["abc abd abcabc", "abab! 12", "the theatre", "tä日本 ab", "aaaaaaa", None, ""]
+    docs = spark.createDataFrame([(i, "en", i, t) for i, t in enumerate(texts)], "doc_id long, lang string, key long, text string")
+    blocks = quality.packed(docs).cache()
+    trusted = spark.createDataFrame([(i,) for i in (0, 1, 2, 5, 6)], "doc_id long")
+    counts = quality.window_counts(blocks, trusted).cache()
+    asked = {r.gram for r in counts.collect()}
+    windows = lambda t: [p[i : i + 5] for p in ["\x01" * 4 + t + "\x02"] for i in range(len(t) + 1)]
+    assert asked == {g for t in filter(None, texts) for g in windows(t)}
+    expected = plain_kneser_ney([t for t in (texts[i] for i in (0, 1, 2))], asked)
+    model = quality.kneser_ney(quality.orders(counts))
+    got = {r.gram: r.p for r in model.collect()}
+    assert got.keys() == expected.keys() and all(math.isclose(got[g], expected[g], rel_tol=1e-9) for g in got)
+    for r in quality.perplexities(blocks, model).collect():
+        w = windows(texts[r.doc_id])
+        assert math.isclose(r.perplexity, math.exp(-sum(math.log(expected[g]) for g in w) / len(w)), rel_tol=1e-5)
+
+
+def test_windows_of_large_alphabets():
+    text = "".join(chr(c) for c in range(0x3000, 0xA000)) + "ab" * 50  # beyond 63 bits for five characters
+    w = quality._Windows([text, "x", text[::-1]])
+    assert w.heads is not None
+    names = w.names().tolist()
+    expected = {}
+    for t in (text, "x", text[::-1]):
+        t = "\x01" * 4 + t + "\x02"
+        for i in range(len(t) - 4):
+            expected[t[i : i + 5]] = expected.get(t[i : i + 5], 0) + 1
+    assert dict(zip(names, w.counts().tolist(), strict=True)) == expected
 
 
 def test_quality_keeps_good_and_rejects_junk(spark):
@@ -299,7 +340,7 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     rows = quality.score(docs, labels).join(labels, "doc_id").collect()
     good = [r.kept for r in rows if r.quality == 1 and not r.toxic]
     junk = [r.kept for r in rows if r.quality == 0]
-    assert sum(good) >= 0.98 * len(good) and sum(junk) <= 0.5 * len(junk)
+    assert sum(good) >= 0.98 * len(good) and sum(junk) <= 0.06 * len(junk)
 
 
 def test_quality_thresholds_are_near_the_quantile(spark):
@@ -315,7 +356,14 @@ def test_quality_on_odd_rows(spark):
     labels = spark.createDataFrame([(i, 1, None, "z") for i in range(100, 160)] + [(None, 1, 0, "z")], "doc_id long, quality int, toxic int, text string")
     got = quality.score(docs, labels).collect()
     assert len(got) == docs.count() and all(r.kept for r in got if r.perplexity is None)
-    assert quality.keep_good(docs, labels).columns == docs.columns
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    key = lambda r: (r.doc_id is None, r.doc_id, r.lang or "", r.text or "")
+    stay = {(r.doc_id, r.lang, r.key): r.kept for r in got}
+    expected = [r for r in docs.withColumn("k", quality.text_key()).collect() if stay[r.doc_id, r.lang, r.k]]
+    assert sorted(map(key, kept.collect())) == sorted(map(key, expected)) and len(expected) < docs.count()
+    two = spark.createDataFrame([(1, "en", "wor" * 20), (1, "en", "\u0416\u0414" * 30)], "doc_id long, lang string, text string")
+    assert quality.keep_good(docs.select(*two.columns).unionByName(two), labels).where("text like '%\u0416%'").count() == 0
     assert all(r.kept for r in quality.score(docs, labels.where("false")).collect())
     assert quality.score(empty(docs), labels).count() == 0
 
@@ -369,3 +417,29 @@ def test_token_counts_at_every_prefix(spark):
     assert all(r.n_tokens in by[r.doc_id] and r.over_limit == (r.n_tokens > 512) for r in got)
     cut = token_counts.within_budget(docs.where("doc_id in (1, 9)"), path, 50)
     assert cut.columns == docs.columns and all(count(r.text) <= 50 for r in cut.collect())
+
+
+def test_token_counts_of_long_runs_and_whole_texts(spark):
+    """Long runs of one character against the library, in time in proportion to them; the
+    whole table; the longest prefix within a budget against all prefixes."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(spark)
+    tokenizer, counter, rng = Tokenizer.from_file(path), token_counts.PrefixCounter(path), random.Random(7)
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    for run in (" ", "\n", "'", "a", "日", "!", "'s", " \n", "'re"):
+        for text in (run * 20_000, run * 20_000 + "x", "x" + run * 20_000):
+            assert counter.count(text, 512)[0] == count(text), run
+    for _ in range(150):
+        t = "".join(rng.choice(["a", " ", "'", "s", "re", "\n", "　", "é", "1", "<|endoftext|>", "<|"]) for _ in range(rng.randrange(1, 16)))
+        for limit in (0, 1, 3, 7):
+            prefixes = counter(t)
+            assert counter.count(t, limit) == (count(t), int(max(i for i in range(len(t) + 1) if prefixes[i] <= limit))), t
+    rows = token_counts.token_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), path)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    for r in rows.collect():
+        n = count(texts[r.doc_id])
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
+    assert token_counts.token_counts(rows.withColumn("text", F.lit("x")).where("false"), path).count() == 0
+    held = token_counts.prefix_counts(spark.createDataFrame([(1, "it's"), (2, None)], "doc_id long, text string"), path).collect()
+    assert {r.doc_id: r.counts for r in held} == {1: [count("it's"[:i]) for i in range(5)], 2: [0]}

@@ -7,15 +7,18 @@ token t that ends there and goes with the last token of the prefix before it, an
     count[i] = count[i - len(t)] + 1
 
 gives the exact count at every prefix from left to right, without encoding any prefix
-again. A text is cut into units (a run of white space with what follows it) whose
-prefixes are counted once and remembered; a document's counts are their running sum.
+again. A text is cut into units, a run of white space with the run of other characters
+behind it; no piece of the pre-tokenizer spans two of them, so a text's counts are the
+running sum of its units', and a task remembers those of the units it has met.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 512
-#: Units and token pairs that a task remembers, a matter of speed only.
-_CACHE = 500_000
+#: Units and pieces, and token pairs, that a worker remembers, and the longest unit; a matter of speed only.
+_CACHE, _CACHED_CHARS = 700_000, 48
 
 _WS = r"\p{White_Space}"
 _CONTRACTION = "'(?:s|t|re|ve|m|ll|d)"
 #: The pre-tokenizer's pattern.
 _PIECES = regex.compile(rf"{_CONTRACTION}| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|{_WS}+(?![^{_WS}])|{_WS}+")
-#: Units end where no later text can change the pieces before.
-_UNITS = regex.compile(rf"{_WS}*[^\P{{White_Space}} ]{_CONTRACTION}|^{_CONTRACTION}|(?<=[^{_WS}]){_CONTRACTION}|{_WS}*(?:\p{{L}}+|\p{{N}}+|[^{_WS}\p{{L}}\p{{N}}]+)|{_WS}+")
+# The characters with the property White_Space.
+_BLANKS = r"\t-\r \x85\xa0  -     　"
+_UNITS = re.compile(rf"[{_BLANKS}]*[^{_BLANKS}]+|[{_BLANKS}]+")
+_LEADING = re.compile(rf"[{_BLANKS}]*")
+#: Longer tokens are looked up by their last bytes, those of up to so many bytes directly.
+_TAIL = 4
+_ONE = (1,)
 
 
 @cache
@@ -65,9 +73,19 @@ class PrefixCounter:
                 self.order[x + y] = len(self.parts)
                 self.parts.append((self.order[x], self.order[y]))
             self.join[self.order[x], self.order[y]] = self.order[x + y]
-        self.longest = max(map(len, self.order))
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.units: dict[str, tuple[bytes, int]] = {}
+        #: The lengths, longest first, of the tokens that end in given bytes: of those
+        #: longer than _TAIL by their last _TAIL bytes, of the others by their last two.
+        tails: dict[tuple[bool, bytes], tuple[int, ...]] = {}
+        for t in self.order:
+            end = t[-_TAIL:] if len(t) > _TAIL else t[-2:]
+            if len(t) > 1:
+                key = (len(t) > _TAIL, end)
+                tails[key] = tuple(sorted({*tails.get(key, ()), len(t)}, reverse=True))
+        self.long = {end: sizes for (long_, end), sizes in tails.items() if long_}
+        self.short = {end: (*sizes, 1) for (long_, end), sizes in tails.items() if not long_}
+        self.pieces: dict[str, int] = {}
+        self.fits: dict[int, bool] = {}
+        self.sizes: dict[str, int] = {}
 
     def _apart(self, a: int, b: int) -> bool:
         """Whether BPE leaves the tokens a and b standing side by side.
@@ -90,27 +108,25 @@ class PrefixCounter:
             else:
                 return True
 
-    def _pair(self, a: int, b: int) -> bool:
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) > 4 * _CACHE:
-                self.fits.clear()
-            got = self.fits[a, b] = self._apart(a, b)
-        return got
-
     def piece(self, data: bytes) -> list[int]:
         """count[i] for every byte prefix of one piece, 0 at 0."""
         count, last = [0], [-1]
-        order, fits, longest = self.order, self.fits, self.longest
+        order, fits, long_, short = self.order, self.fits, self.long, self.short
+        if len(fits) > _CACHE:
+            fits.clear()
         for i in range(1, len(data) + 1):
-            for j in range(max(0, i - longest), i):
-                t = order.get(data[j:i])
-                if t is None:
+            sizes = short.get(data[i - 2 : i], _ONE) if i > 1 else _ONE
+            if i > _TAIL and (more := long_.get(data[i - _TAIL : i])):
+                sizes = more + sizes
+            for size in sizes:
+                j = i - size
+                if j < 0 or (t := order.get(data[j:i])) is None:
                     continue
                 if j:
-                    ok = fits.get((last[j], t))
+                    pair = last[j] << 32 | t
+                    ok = fits.get(pair)
                     if ok is None:
-                        ok = self._pair(last[j], t)
+                        ok = fits[pair] = self._apart(last[j], t)
                     if not ok:
                         continue
                 count.append(count[j] + 1)
@@ -118,54 +134,108 @@ class PrefixCounter:
                 break
         return count
 
-    def _text(self, text: str) -> int:
-        """Tokens of a short text without special strings, by pieces."""
-        return sum(self.piece(p.encode("utf-8", "surrogatepass"))[-1] for p in _PIECES.findall(text))
-
-    def unit(self, text: str) -> tuple[bytes, int]:
-        """The change of the count at each character of a unit (as int8), and its count."""
-        got = self.units.get(text)
-        if got is None:
-            if len(self.units) > _CACHE:
-                self.units.clear()
-            rest = text[1:] if text[0] == " " else text
-            if rest and not rest[0].isspace() and "'" not in rest:
-                data = text.encode("utf-8", "surrogatepass")
-                counts = self.piece(data)
-                if len(data) > len(text):  # only the ends of characters
-                    counts = [counts[i] for i in range(len(data) + 1) if i == len(data) or data[i] & 0xC0 != 0x80]
-            else:
-                counts = [self._text(text[:i]) for i in range(len(text) + 1)]
-            got = (bytes([b - a & 255 for a, b in zip(counts, counts[1:], strict=False)]), counts[-1])
-            if len(text) <= 64:
-                self.units[text] = got
-        return got
-
-    def plain(self, text: str) -> np.ndarray:
-        """Counts at every prefix of a text without special strings, 0 at 0."""
-        steps = b"".join([self.unit(u)[0] for u in _UNITS.findall(text)])
-        out = np.zeros(len(steps) + 1, np.int64)
-        np.cumsum(np.frombuffer(steps, np.int8), out=out[1:])
+    def _chars(self, piece: str) -> list[int]:
+        """count at every character's end of one piece."""
+        data = piece.encode("utf-8", "surrogatepass")
+        counts = self.piece(data)
+        if len(data) == len(piece):
+            return counts[1:]
+        return [counts[i] for i in range(1, len(data) + 1) if i == len(data) or data[i] & 0xC0 != 0x80]
+
+    def size(self, unit: str) -> int:
+        """The tokens of a unit."""
+        n = self.sizes.get(unit)
+        if n is None:
+            n, known = 0, self.pieces
+            for p in _PIECES.findall(unit):
+                m = known.get(p)
+                if m is None:
+                    m = self.piece(p.encode("utf-8", "surrogatepass"))[-1]
+                    if len(p) <= _CACHED_CHARS:
+                        known[p] = m
+                n += m
+            if len(unit) <= _CACHED_CHARS:
+                self.sizes[unit] = n
+            if len(self.sizes) + len(known) > _CACHE:
+                self.sizes.clear()
+                known.clear()
+        return n
+
+    def unit(self, unit: str) -> list[int]:
+        """The count at every character's end of a unit. Its white space is one piece until
+        another character follows; a contraction is marks and letters until it is whole."""
+        blanks = _LEADING.match(unit).end()
+        out = self._chars(unit[:blanks])
+        if blanks < len(unit):
+            at = base = 0
+            for m in _PIECES.finditer(unit):
+                p = m[0]
+                counts = self._chars(p)
+                if len(p) == 3 and regex.fullmatch(_CONTRACTION, p):
+                    counts[1] = counts[0] + self._chars(p[1])[0]
+                out += [base + n for n in counts[max(0, blanks - at) :]]
+                at, base = at + len(p), base + counts[-1]
+        return out
+
+    def _parts(self, text: str) -> list[str]:
+        """The text, cut at special strings (each of them a part)."""
+        if not self.split or not any(s in text for s in self.special):
+            return [text]
+        return [x for x in self.split.split(text) if x]
+
+    def units(self, text: str) -> list[str]:
+        """The units and special strings of a text."""
+        return [u for p in self._parts(text) for u in ([p] if p in self.special else _UNITS.findall(p))]
+
+    def sizes_of(self, units: list[str]) -> list[int]:
+        """The tokens of every unit or special string."""
+        known, special = self.sizes.get, self.special
+        out = list(map(known, units))
+        if None in out:
+            for i, n in enumerate(out):
+                if n is None:
+                    out[i] = 1 if units[i] in special else self.size(units[i])
         return out
 
     def __call__(self, text: str) -> np.ndarray:
         """Counts at every prefix: n code points give n + 1 counts."""
-        if not self.split or not any(s in text for s in self.special):
-            return self.plain(text)
-        out, base, before = [np.zeros(1, np.int64)], 0, ""
-        for part in self.split.split(text):
+        out, base, open_ = [0], 0, ""  # open_: the unit that the next part would go on
+        for part in self._parts(text):
             if part in self.special:
                 # inside the string it is text like any other, at its end one token
-                whole = self.plain(before + part)
-                inside = whole[len(before) + 1 :] + (base - (self.plain(before)[-1] if before else 0))
-                inside[-1] = base + 1
-                out.append(inside)
-                base, before = base + 1, ""
-            elif part:
-                counts = self.plain(part)
-                out.append(counts[1:] + base)
-                base, before = base + int(counts[-1]), part
-        return np.concatenate(out)
+                started = sum(self.sizes_of(_UNITS.findall(open_)))
+                inside, total = [], 0
+                for u in _UNITS.findall(open_ + part):
+                    inside += [total + n for n in self.unit(u)]
+                    total = inside[-1]
+                out += [base - started + n for n in inside[len(open_) :]]
+                out[-1], base, open_ = base + 1, base + 1, ""
+                continue
+            for u in _UNITS.findall(part):
+                out += [base + n for n in self.unit(u)]
+                base, open_ = out[-1], u
+        return np.array(out, np.int64)
+
+    def count(self, text: str, limit: int) -> tuple[int, int]:
+        """The tokens of a text, and the characters of its longest prefix of at most limit."""
+        units = self.units(text)
+        sizes = self.sizes_of(units)
+        total = sum(sizes)
+        if total <= limit:
+            return total, len(text)
+        # of the units that begin within the limit, the last one holds that prefix's end
+        begun = sum(1 for _ in takewhile(lambda n: n <= limit, accumulate(sizes)))
+        before = sum(map(len, units[:begun]))
+        tail = "".join(units[begun - 1 : begun + 1]) if begun else units[0]
+        start = before - (len(units[begun - 1]) if begun else 0)
+        spent = sum(sizes[: begun - 1]) if begun else 0
+        return total, start + int(np.flatnonzero(spent + self(tail) <= limit)[-1])
+
+
+@cache
+def counter_of(path: str) -> PrefixCounter:
+    """One counter for all of a Python worker's tasks."""
+    return PrefixCounter(path)
 
 
 def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -173,7 +243,7 @@ def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
     from none to all of the text's code points (null text: as empty, [0])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = counter_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -187,24 +257,27 @@ def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_bytes, n_tokens, over_limit, fit_chars: the
     tokens of the whole text, whether they exceed limit, and the code points of its
-    longest prefix that limit tokens hold; all read off the prefix counts.
+    longest prefix that limit tokens hold; sums of its units' counts, and prefix counts
+    of the unit at the limit.
 
     Counts are the tokenizer's own without added special tokens; special strings in a
     text count as its library takes them, one token each. Null and empty texts: 0.
-    A text of any length is counted whole, in memory of a few bytes a character."""
+    A text of any length is counted whole, in memory of some bytes a character; equal in
+    result and linear in work for one run of blanks, line ends, marks or letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = counter_of(path)
         for batch in batches:
-            size, n, fit = [], [], []
-            for t in batch.column(1).to_pylist():
-                counts = counter(t or "")
-                size.append(len((t or "").encode("utf-8", "surrogatepass")))
-                n.append(int(counts[-1]))
-                fit.append(len(counts) - 1 if n[-1] <= limit else int(np.flatnonzero(counts <= limit)[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(fit, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+            n, fit = [], []
+            for t in batch.column(2).to_pylist():
+                tokens, chars = counter.count(t, limit)
+                n.append(tokens)
+                fit.append(chars)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(fit, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def within_budget(docs: DataFrame, path: str, budget: int) -> DataFrame:
