@@ -1,174 +1,261 @@
-"""Quality classifier: an interpolated modified Kneser-Ney character model.
-
-Counts of four-character windows of all trusted texts are summed by Spark; the
-continuation counts of the lower orders, the context totals and the interpolation are
-group-bys and equi-joins over those sharded counts. Characters fall into 48 classes
-(below), so a model holds at most 48^4 windows whatever the corpus: that bound is what
-allows the finished table to be broadcast, and each document's perplexity is then read
-off it without moving a text. Documents above their language's quantile of held-out
-trusted perplexity are rejected.
+"""Quality classifier: an interpolated modified Kneser-Ney model of characters.
+
+Documents are packed into blocks of bounded size, in which a window of five characters is
+named once however often it occurs. The trusted documents' counts are summed over all
+blocks; every window that any block asks for stands in the same sharded table, with its
+count or 0. Lower orders' continuation counts, contexts and the interpolation are
+group-bys and equi-joins of such tables, and a last join by window gives each block the
+probabilities it asked for, from which it reads off its documents' perplexities. Nothing
+of the model passes through the driver or is broadcast, and it has every character and
+window of the corpus. Documents above their language's quantile of held-out trusted
+perplexity are rejected.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
-ORDER = 4
-CLASSES = 48
+ORDER = 5
 #: One trusted document in FOLDS is held out of training to set the thresholds.
 FOLDS = 5
+#: A document is rejected above this quantile of its language. README.md has both errors.
 QUANTILE = 0.98
-#: A document is rejected above SLACK times its language's quantile: what the quantile of a
-#: few dozen held-out texts may be off. README.md has both errors.
-SLACK = 1.02
-_SPAN = 1 << 16
-
-# Character classes. 0 pads the start, 1 ends a text, 2 is white space other than a
-# line end, 3 a line end, 4 a digit, 5 an upper-case letter, 6-31 a-z, 32-38 the groups
-# of marks below, 39 any other mark, 40-44 other lower-case letters by code point,
-# 45-46 other scripts by code point, 47 anything else.
-_MARKS = (".", ",", "!", "?", "'\"", "()", "-")
-
-
-@cache
-def _classes() -> np.ndarray:
-    out = np.full(_SPAN, 47, dtype=np.int64)
-    for i in range(_SPAN):
-        c = chr(i)
-        kind = unicodedata.category(c)
-        mark = [k for k, group in enumerate(_MARKS) if c in group]
-        if "a" <= c <= "z":
-            out[i] = 6 + i - ord("a")
-        elif mark:
-            out[i] = 32 + mark[0]
-        elif c in "\r\n":
-            out[i] = 3
-        elif c.isspace():
-            out[i] = 2
-        elif kind == "Nd":
-            out[i] = 4
-        elif kind == "Lu":
-            out[i] = 5
-        elif kind == "Ll":
-            out[i] = 40 + i % 5
-        elif kind[0] in "LM":
-            out[i] = 45 + i % 2
-        elif kind[0] in "PS":
-            out[i] = 39
-    return out
-
-
-def windows(text: str) -> np.ndarray:
-    """The base-48 codes of a text's windows, one for each character and one for its end."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    s = np.empty(len(points) + ORDER, dtype=np.int64)
-    s[: ORDER - 1], s[-1] = 0, 1
-    s[ORDER - 1 : -1] = _classes()[np.minimum(points, _SPAN - 1)]
-    code = s[: len(points) + 1].copy()
-    for k in range(1, ORDER):
-        code = code * CLASSES + s[k : k + len(points) + 1]
-    return code
-
-
-def window_counts(texts: DataFrame) -> DataFrame:
-    """(code, c): how often each window occurs in all of texts(text); combined in the
-    tasks before the shuffle."""
+#: Characters after which a block is closed (a document is never split), and characters
+#: whose windows are made at once.
+BLOCK_CHARS, _CHUNK = 8_000_000, 1_000_000
+_START, _END = 1, 2
+
+
+class _Windows:
+    """The windows of a block's texts: names (its distinct windows), and each text's places
+    among them."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts = texts
+        present = np.zeros(0x110000, bool)
+        present[[_START, _END]] = True
+        for s in self._sequences():
+            present[s] = True
+        self.alphabet = np.flatnonzero(present).astype(np.uint32)
+        self.rank = np.cumsum(present) - 1
+        # codes of five characters fit 63 bits unless the alphabet is large; then the first
+        # three are numbered by their order first
+        self.heads = None
+        if float(len(self.alphabet)) ** ORDER >= 2.0**63:
+            self.heads = self._distinct(lambda x: self._code(x, 0, ORDER - 2))
+        self.codes = self._distinct(self._codes)
+
+    def _sequences(self) -> Iterator[np.ndarray]:
+        """Code points of one or several texts, each between its start and end marks."""
+        held, n = [], 0
+        for t in self.texts:
+            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            held += [np.full(ORDER - 1, _START, np.uint32), np.maximum(points, 3), np.full(1, _END, np.uint32)]
+            n += len(points)
+            if n >= _CHUNK:
+                yield np.concatenate(held)
+                held, n = [], 0
+        if held:
+            yield np.concatenate(held)
+
+    def _code(self, x: np.ndarray, first: int, n: int) -> np.ndarray:
+        size = len(x) - ORDER + 1
+        out = x[first : first + size].copy()
+        for k in range(first + 1, first + n):
+            out = out * len(self.alphabet) + x[k : k + size]
+        return out
+
+    def _codes(self, x: np.ndarray) -> np.ndarray:
+        if self.heads is None:
+            return self._code(x, 0, ORDER)
+        return np.searchsorted(self.heads, self._code(x, 0, ORDER - 2)) * len(self.alphabet) ** 2 + self._code(x, ORDER - 2, 2)
+
+    def _places(self, code) -> Iterator[np.ndarray]:
+        """The codes of the windows of each stretch of texts, in order. A window that has an
+        end mark before its last character goes over into the next text and is left out."""
+        for s in self._sequences():
+            ends = np.concatenate([[0], np.cumsum(s == _END)])
+            size = len(s) - ORDER + 1
+            yield code(self.rank[s])[ends[ORDER - 1 : ORDER - 1 + size] == ends[:size]]
+
+    def _distinct(self, code) -> np.ndarray:
+        out = np.zeros(0, np.int64)
+        for c in self._places(code):
+            out = np.union1d(out, c)
+        return out
+
+    def names(self) -> np.ndarray:
+        """The distinct windows as strings, in the order of their codes."""
+        n, c = len(self.alphabet), self.codes
+        digits = []
+        for _ in range(2):
+            digits.append(c % n)
+            c = c // n
+        c = c if self.heads is None else self.heads[c]
+        for _ in range(ORDER - 2):
+            digits.append(c % n)
+            c = c // n
+        points = self.alphabet[np.stack(digits[::-1], axis=1)]
+        return np.ascontiguousarray(points, dtype="<u4").view(f"<U{ORDER}").reshape(-1)
+
+    def counts(self) -> np.ndarray:
+        """How often each distinct window occurs."""
+        out = np.zeros(len(self.codes), np.int64)
+        for c in self._places(self._codes):
+            out += np.bincount(np.searchsorted(self.codes, c), minlength=len(out))
+        return out
+
+    def means(self, weights: np.ndarray) -> list[float]:
+        """The mean weight of each text's windows (weights: of the distinct ones)."""
+        sums = np.concatenate([weights[np.searchsorted(self.codes, c)].astype(np.float64) for c in self._places(self._codes)])
+        ends = np.cumsum([len(t) + 1 for t in self.texts])
+        return (np.add.reduceat(sums, np.concatenate([[0], ends[:-1]])) / np.array([len(t) + 1 for t in self.texts])).tolist()
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, lang, text) -> a row for each block of documents with text: block, ids,
+    langs, keys (of the texts), texts (compressed), bytes (of each text), names (the
+    windows). A block's rows are a partition's in their order, so the table has to be
+    written before it is used twice."""
+    fields = ["block long", "ids array<long>", "langs array<string>", "keys array<long>", "texts binary", "bytes array<int>", "names array<string>"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for rows in _blocks(batches):
+            ids, langs, keys, texts = zip(*rows, strict=True)
+            data = [t.encode("utf-8", "surrogatepass") for t in texts]
+            row = [part << 32 | n, ids, langs, keys, zstandard.compress(b"".join(data), 6), list(map(len, data)), _Windows(texts).names().tolist()]
+            n += 1
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in fields])
+
+    return docs.where("text <> ''").select("doc_id", "lang", "key", "text").mapInArrow(run, ", ".join(fields))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows, in lists whose last columns have BLOCK_CHARS characters or little more."""
+    held, n = [], 0
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            held.append(row)
+            n += len(row[-1])
+            if n >= BLOCK_CHARS:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def _unpacked(texts: bytes, sizes: list[int]) -> list[str]:
+    data, ends = zstandard.decompress(texts), np.cumsum([0, *sizes]).tolist()
+    return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def window_counts(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(gram, c): every window of blocks, and how often the trusted(doc_id) documents have it."""
+    ids = blocks.select("block", F.posexplode("ids").alias("at", "doc_id"))
+    marked = ids.join(trusted, "doc_id", "left_semi").groupBy("block").agg(F.collect_list("at").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, n = [], 0
-            for i, t in enumerate(batch.column(0).to_pylist()):
-                held.append(windows(t))
-                n += len(held[-1])
-                if n > 8_000_000 or i == batch.num_rows - 1:
-                    code, c = np.unique(np.concatenate(held), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], names=["code", "c"])
-                    held, n = [], 0
-
-    return texts.select(F.col("text").cast("string")).where("text <> ''").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """Windows' counts(code, c) -> (k, code, p, gamma) for every window of order k seen:
-    its interpolated probability, and the weight that its lower order has after it as
-    a context (null where it is never one). Order 1 interpolates with the uniform."""
-    levels = [counts]
-    for k in range(ORDER - 1, 0, -1):
-        levels.append(levels[-1].groupBy((F.col("code") % CLASSES**k).alias("code")).agg(F.count("*").alias("c")))
-    levels = [cut(x) for x in levels[::-1]]
-    lower, out, gammas = None, [], []
+            for texts, sizes, at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                every = _unpacked(texts, sizes)
+                w = _Windows([every[i] for i in sorted(at)])
+                yield pa.RecordBatch.from_arrays([pa.array(w.names().tolist(), pa.string()), pa.array(w.counts())], names=["gram", "c"])
+
+    taught = blocks.select("block", "texts", "bytes").join(marked.hint("merge"), "block").select("texts", "bytes", "at").mapInArrow(run, "gram string, c long")
+    asked = blocks.select(F.explode("names").alias("gram"), F.lit(0).cast("long").alias("c"))
+    return asked.unionByName(taught).groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def orders(counts: DataFrame) -> list[DataFrame]:
+    """(gram, c) of each order from 1 on: the highest has counts, a lower one how many
+    different characters stand before the window. Windows that are only asked for have 0."""
+    out = [counts]
+    for _ in range(ORDER - 1):
+        out.append(cut(out[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.when(F.col("c") > 0, 1)).alias("c"))))
+    return out[::-1]
+
+
+def discounts(n: list[int]) -> list[float]:
+    """The discounts of windows that occur once, twice and more often, from the numbers of
+    those that occur 1, 2, 3 and 4 times (half the count where these are too few)."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+    return [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j - 0.05) if n[j - 1] and n[j] else 0.5 * j for j in (1, 2, 3)]
+
+
+def kneser_ney(levels: list[DataFrame]) -> DataFrame:
+    """orders' tables -> (gram, p): the probability of each window's last character after
+    the others, interpolated down to a uniform one over the characters that occur."""
+    few = [F.count(F.when(F.col("c") == j, 1)).alias(f"n{j}") for j in (1, 2, 3, 4)]
+    figures = None
     for k, level in enumerate(levels, 1):
-        n = level.agg(*[F.count(F.when(F.col("c") == j, 1)).alias(f"n{j}") for j in (1, 2, 3, 4)]).first()
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-        d = [0.0] + [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j - 0.05) if n[j - 1] and n[j] else 0.5 * j for j in (1, 2, 3)]
-        off = F.when(F.col("c") == 1, d[1]).when(F.col("c") == 2, d[2]).otherwise(d[3])
-        level = level.select("code", "c", off.alias("off"), F.expr(f"code div {CLASSES}").alias("ctx"), (F.col("code") % CLASSES ** (k - 1)).alias("low"))
-        ctx = level.groupBy("ctx").agg(F.sum("c").alias("s"), (F.sum("off") / F.sum("c")).alias("gamma"))
-        gammas.append(ctx.select(F.lit(k - 1).alias("k"), F.col("ctx").alias("code"), "gamma"))
-        below = level.join(ctx, "ctx")
-        below = below.withColumn("q", F.lit(1.0 / CLASSES)) if lower is None else below.join(lower.select(F.col("code").alias("low"), F.col("p").alias("q")), "low")
-        lower = cut(below.select(F.lit(k).alias("k"), "code", ((F.col("c") - F.col("off")) / F.col("s") + F.col("gamma") * F.col("q")).alias("p")))
-        out.append(lower)
-    seen, after = out[0], gammas[0]
-    for x, g in zip(out[1:], gammas[1:], strict=True):
-        seen, after = seen.unionByName(x), after.unionByName(g)
-    return seen.join(after, ["k", "code"], "full")
-
-
-#: The table holds -log p in steps of 1 / SCALE, two bytes a window.
-SCALE = 2000
-
-
-def log_table(model: DataFrame) -> np.ndarray:
-    """-SCALE log p of every possible window, 48^4 numbers of two bytes; unseen windows
-    back off. Built in place: the driver holds the last order's array and little else."""
-    table = model.select(F.col("k").cast("int"), "code", F.col("p").cast("float"), F.col("gamma").cast("float")).toArrow()
-    order, codes, p_of, gamma_of = (table.column(i).to_numpy() for i in range(4))  # null: NaN
-    below = np.full(CLASSES, 1.0 / CLASSES, np.float32)
-    for k in range(1, ORDER + 1):
-        p = below if k == 1 else np.tile(below, CLASSES)
-        context, at = (order == k - 1) & ~np.isnan(gamma_of), (order == k) & ~np.isnan(p_of)
-        weight = np.ones(CLASSES ** (k - 1), np.float32)
-        weight[codes[context]] = gamma_of[context]
-        p.reshape(-1, CLASSES)[:] *= weight[:, None]
-        p[codes[at]] = p_of[at]
-        below = p
-    np.maximum(below, 1e-12, out=below)
-    np.log(below, out=below)
-    below *= -SCALE
-    return np.rint(below, out=below).astype(np.uint16)
-
-
-def perplexities(docs: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
-    """docs' columns keep, and perplexity (null without text)."""
-    held = docs.sparkSession.sparkContext.broadcast(table)
-    schema = docs.select(*keep).schema.add("perplexity", "double")
+        one = level.agg(F.lit(k).alias("k"), *few, F.count("*").alias("size"), F.sum("c").alias("s"))
+        figures = one if figures is None else figures.unionByName(one)
+    by_order = {r["k"]: r for r in figures.collect()}  # a row for each order
+    p = None
+    for k, level in enumerate(levels, 1):
+        f = by_order[k]
+        d = discounts([f[f"n{j}"] for j in (1, 2, 3, 4)])
+        c = F.col("c")
+        level = level.withColumn("off", F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2]))
+        if k == 1:
+            # one context: its figures are those of the order
+            total = f["s"] or 0
+            share = F.lit(1.0 / max(1, f["size"]))
+            seen = level.agg(F.sum("off")).first()[0] or 0.0
+            p = level.select("gram", ((c - F.col("off") + seen * share) / total if total else share).alias("p"))
+            continue
+        level = level.withColumns({"ctx": F.expr(f"substring(gram, 1, {k - 1})"), "low": F.expr("substring(gram, 2)")})
+        ctx = level.where("c > 0").groupBy("ctx").agg(F.sum("c").alias("s"), (F.sum("off") / F.sum("c")).alias("gamma"))
+        both = level.join(p.select(F.col("gram").alias("low"), F.col("p").alias("q")).hint("merge"), "low").join(ctx.hint("merge"), "ctx", "left")
+        p = both.select("gram", F.coalesce((c - F.col("off")) / F.col("s") + F.col("gamma") * F.col("q"), "q").alias("p"))
+    return p
+
+
+def perplexities(blocks: DataFrame, model: DataFrame) -> DataFrame:
+    """blocks' documents -> doc_id, lang, key, perplexity. model: (gram, p)."""
+    weight = model.select("gram", (-F.log(F.greatest("p", F.lit(1e-12)))).cast("float").alias("w"))
+    asked = blocks.select("block", F.posexplode("names").alias("at", "gram"))
+    given = asked.join(weight.hint("merge"), "gram").groupBy("block").agg(F.collect_list(F.struct("at", "w")).alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = held.value
         for batch in batches:
-            out = [float(np.exp(logs[windows(t)].mean(dtype=np.float64) / SCALE)) if t else None for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], names=[*keep, "perplexity"])
+            for i in range(batch.num_rows):
+                ids, langs, keys, texts, sizes = (batch.column(k)[i].as_py() for k in range(5))
+                weights = batch.column(5)[i].values
+                at, w = (weights.field(k).to_numpy() for k in (0, 1))
+                by_place = np.empty(len(at), np.float32)
+                by_place[at] = w
+                means = _Windows(_unpacked(texts, sizes)).means(by_place)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(np.exp(means))], names=["doc_id", "lang", "key", "perplexity"])
 
-    return docs.select(F.col("text").cast("string").alias("__text"), *keep).mapInArrow(run, schema)
+    joined = blocks.drop("names").join(given.hint("merge"), "block").select("ids", "langs", "keys", "texts", "bytes", "given")
+    return joined.mapInArrow(run, "doc_id long, lang string, key long, perplexity double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """doc_id of every document labelled good and not toxic, once each."""
-    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
+
+
+def text_key() -> F.Column:
+    """A row's text as a number."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
-def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """docs(doc_id, text, lang, ...) -> doc_id, lang, perplexity, threshold, kept, a row each.
+def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """docs(doc_id, text, lang, ...) -> doc_id, lang, key (xxhash64 of the text), perplexity,
+    threshold, kept, a row each.
 
     Trusted are the texts of all documents that labels call good and not toxic; folds
     1 to 4 of 5 train, fold 0 sets each language's threshold. A language without a
@@ -176,22 +263,23 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack:
     then all is kept, if there is none at all). Null or empty texts have no
     perplexity and are kept: nothing speaks against them. Null doc_ids are scored and
     never trusted; repeated rows count as often as they occur."""
-    docs = docs.select("doc_id", "lang", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), text_key().alias("key"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
-    training = docs.join(trusted_ids(labels).where(fold != 0).hint("merge"), "doc_id", "left_semi")
-    held_out = trusted_ids(labels).where(fold == 0).withColumn("__trusted", F.lit(True))
-    table = log_table(kneser_ney(cut(window_counts(training))))
-    scored = cut(perplexities(docs, table, ["doc_id", "lang"]))
-    sure = cut(scored.join(held_out, "doc_id", "left_semi").where("perplexity is not null"))
+    blocks = written(packed(docs), "quality-blocks")
+    levels = orders(written(window_counts(blocks, trusted_ids(labels).where(fold != 0)), "quality-counts"))
+    scored = cut(perplexities(blocks, kneser_ney(levels)))
+    sure = cut(scored.join(trusted_ids(labels).where(fold == 0), "doc_id", "left_semi").select("lang", "perplexity"))
     at = lambda: F.percentile_approx("perplexity", quantile, 10000)
     by = sure.groupBy("lang").agg(at().alias("own")).select(F.col("lang").alias("__lang"), "own")
     every = sure.agg(at().alias("all")).first()["all"]
-    limit = F.coalesce("own", F.lit(every).cast("double")) * slack
-    out = scored.join(F.broadcast(by) if by.count() <= 10_000 else by, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("threshold", limit)
-    return out.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    rest = docs.where("text is null or text = ''").select("doc_id", "lang", "key", F.lit(None).cast("double").alias("perplexity"))
+    out = scored.unionByName(rest).join(by, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("threshold", F.coalesce("own", F.lit(every).cast("double")))
+    return out.select("doc_id", "lang", "key", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows of rejected documents, all columns as they came."""
-    gone = score(docs, labels).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """docs without the rejected rows, all columns as they came. Rows that share a doc_id
+    and differ in language or text are judged each by itself."""
+    gone = score(docs, labels).where("not kept").select(F.col("doc_id").alias("__doc"), F.col("lang").alias("__lang"), F.col("key").alias("__key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & docs["lang"].cast("string").eqNullSafe(F.col("__lang")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__key"))
+    return docs.join(gone, same, "left_anti")
