@@ -443,3 +443,32 @@ def test_token_counts_of_long_runs_and_whole_texts(spark):
     assert token_counts.token_counts(rows.withColumn("text", F.lit("x")).where("false"), path).count() == 0
     held = token_counts.prefix_counts(spark.createDataFrame([(1, "it's"), (2, None)], "doc_id long, text string"), path).collect()
     assert {r.doc_id: r.counts for r in held} == {1: [count("it's"[:i]) for i in range(5)], 2: [0]}
+
+
+def test_letters_of_one_form_are_not_all_compared(spark):
+    """Letters that fill one form stay below the similarity: pairs that are compared come
+    from what fills it, and results are those of brute force."""
+    rng = random.Random(11)
+    form = ["f%d" % i for i in range(300)]
+    rows = []
+    for i in range(240):
+        words = list(form)
+        for at in range(10, 300, 29):
+            words[at] = "x%d" % rng.randrange(400)
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1].replace("f5 ", "g5 ")) for i in range(0, 240, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected, _ = components_of(rows)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == expected
+    sets = minhash._reduced(minhash.shingle_sets(docs)).withColumn("part", F.col("node"))
+    ids = {r.node: r.doc_id for r in minhash.signatures(docs).collect()}
+    found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in minhash._rare_pairs(sets, 85).collect()}
+    assert {tuple(sorted(p)) for p in itertools.combinations([i for i, _ in rows], 2) if expected[p[0]] == expected[p[1]]} <= found
+    assert len(found) <= 6 * len(rows)
+
+
+def test_rows_that_share_a_doc_id_are_judged_by_themselves(spark):
+    base = " ".join("b%d" % i for i in range(200))
+    other = " ".join("o%d" % i for i in range(200))
+    docs = spark.createDataFrame([(1, base), (2, base.replace("b7 ", "c7 ")), (2, other), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text or "") for r in minhash.deduplicate(docs).collect()) == [(1, base), (2, other), (3, "")]

@@ -6,7 +6,7 @@ bands of 6 values (three permutations, their minima and maxima) find a pair of
 similarity 0.85 with probability 1 - (1 - 0.85^6)^24: one in 8e4 is missed at the
 threshold itself, one in 8e7 at 0.9. Other thresholds take as many bands as keep that
 rate (38 at 0.8). Every pair that shares a band is then connected already, ruled out by
-an exact bound, or compared on its full shingle sets.
+exact bounds, or compared on its full shingle sets.
 
 The sides of the large joins grow with the corpus, so they are merge joins at every
 size (hint), never broadcasts that turn into something else on larger input.
@@ -32,12 +32,10 @@ BAND_PERMUTATIONS = 3
 PERCENT = 85
 #: The share of pairs at the threshold itself that may share no band.
 MISSED = 1.2e-5
-#: Counters of the profile that bounds what two sets share.
-PARTS = 128
 #: Words whose hashes a task keeps at once, a matter of speed only.
 _CACHE = 400_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_SIG = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+_SIG = "doc_id long, text_key long, n_shingles long, node long, bands array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,53 +104,61 @@ def _bands(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _node(shingles: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63) if len(shingles) else None
+
+
+def _text_key() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string")).alias("text_key")
+
+
 def signatures(docs: DataFrame, seed: int = 1, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands) of every row; set_key is a 128-bit digest
-    of the shingle set, null where there are no words."""
+    """(doc_id, text_key, n_shingles, node, bands) of every row; text_key is xxhash64 of the
+    text, node a 64-bit digest of the shingle set, null where there are no words."""
     width = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _draws(seed, width * BAND_PERMUTATIONS)
         shingles = _Shingler()
         for batch in batches:
-            n, keys, bands, ends = [], [], [], [0]
-            for text in batch.column(1).to_pylist():
+            n, nodes, bands, ends = [], [], [], [0]
+            for text in batch.column(2).to_pylist():
                 x = shingles(text)
                 n.append(len(x))
-                keys.append(xxhash.xxh128_digest(x.tobytes()) if len(x) else None)
+                nodes.append(_node(x))
                 if len(x):
                     bands.append(_bands(x, a, b))
                 ends.append(ends[-1] + (width if len(x) else 0))
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                names=["doc_id", "text_key", "n_shingles", "node", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SIG)
+    return docs.select(F.col("doc_id").cast("long"), _text_key(), F.col("text").cast("string")).mapInArrow(run, _SIG)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the full sets."""
+    """docs(text) -> (node, shingles): the full sets, a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _Shingler()
         for batch in batches:
-            sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t) for t in batch.column(0).to_pylist()]
             ends = np.cumsum([0] + [len(s) for s in sets])
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "shingles"])
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, sets)), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose sets reach the similarity. sets(doc_id, n, common):
-    the number of all shingles, and those that another document has too."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("common").alias("sa")).hint("merge")
-    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("common").alias("sb")).hint("merge")
+    """Those of pairs(a, b) whose sets reach the similarity. sets(node, n, common):
+    the number of all shingles, and those that another set has too."""
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("common").alias("sa")).hint("merge")
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("sb")).hint("merge")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct()
+    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def _can_link(n: str, m: str, k: str, j: str, percent: int) -> F.Column:
@@ -163,103 +169,110 @@ def _can_link(n: str, m: str, k: str, j: str, percent: int) -> F.Column:
 
 
 def _reduced(sets: DataFrame) -> DataFrame:
-    """sets(doc_id, shingles) -> (doc_id, n, k, common): the k shingles that another of
-    the sets has too, of the n; what only one set has is shared by no pair."""
-    one = sets.select("doc_id", F.explode("shingles").alias("x"))
-    twice = one.groupBy("x").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("x")
-    kept = one.join(twice.hint("merge"), "x", "left_semi").groupBy("doc_id").agg(F.collect_list("x").alias("common"))
-    size = sets.select("doc_id", F.size("shingles").cast("long").alias("n"))
-    return size.join(kept.hint("merge"), "doc_id").select("doc_id", "n", F.size("common").cast("long").alias("k"), "common")
-
-
-def _profiles(sets: DataFrame) -> DataFrame:
-    """sets(doc_id, common) -> (doc_id, profile): how many shingles have each remainder
-    by PARTS. What two sets share is at most the sum of the smaller counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.bincount(np.asarray(x.as_py(), np.int64) % PARTS, minlength=PARTS).astype(np.int32) for x in batch.column(1)]
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * PARTS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc_id", "profile"])
-
-    return sets.select("doc_id", "common").mapInArrow(run, "doc_id long, profile array<int>")
+    """sets(node, shingles) -> (node, n, k, common): the k shingles that another of
+    the sets has too, of the n, those that the fewest sets have first; what only one set
+    has is shared by no pair."""
+    one = sets.select("node", F.explode("shingles").alias("x"))
+    twice = one.groupBy("x").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").cast("int").alias("df")).where("lo <> hi").select("x", "df")
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("df", "x"))), lambda s: s["x"])
+    kept = one.join(twice.hint("merge"), "x").groupBy("node").agg(ranked.alias("common"))
+    size = sets.select("node", F.size("shingles").cast("long").alias("n"))
+    return size.join(kept.hint("merge"), "node").select("node", "n", F.size("common").cast("long").alias("k"), "common")
+
+
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """sets(node, n, k, common, part) -> pairs(a, b) of different parts that can reach the
+    similarity t, each found by a shingle among the rarest of both.
+
+    Of two sets that reach t the larger one shares t of its n shingles at least, so one
+    is among its (1 - t) n + 1 rarest; the smaller one shares 2 t / (1 + t) of its own, so
+    that one is among its (1 - t) / (1 + t) n + 1 rarest (exact, in one order of all
+    shingles). Shingles of a single set come first in that order and need no row. For
+    each shingle the part with most sets meets the other parts only."""
+    n = F.col("n")
+    least_large = F.ceil(percent * n / 100)
+    least_small = F.ceil(2 * percent * n / (100 + percent))
+    wide, narrow = (F.greatest(F.lit(0), n - x + 1 - (n - F.col("k"))).cast("int") for x in (least_large, least_small))
+    post = sets.select("node", "n", "k", "part", narrow.alias("narrow"), F.posexplode(F.slice("common", F.lit(1), wide)).alias("at", "x"))
+    parts = post.groupBy("x", "part").agg(F.count("*").alias("m")).groupBy("x").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    post = cut(post.join(parts.select("x", "main").hint("merge"), "x"))
+    rest = post.where("part <> main").toDF(*[f"{c}1" if c not in ("x", "main") else c for c in post.columns]).drop("main")
+    others = post.toDF(*[f"{c}2" if c not in ("x", "main") else c for c in post.columns])
+    apart = (F.col("part1") != F.col("part2")) & ((F.col("part2") == F.col("main")) | (F.col("node1") < F.col("node2"))) & _can_link("n1", "n2", "k1", "k2", percent)
+    first_larger = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
+    small_has_it = F.when(first_larger, F.col("at2") < F.col("narrow2")).otherwise(F.col("at1") < F.col("narrow1"))
+    found = rest.join(others.hint("merge"), "x").where(apart & small_has_it)
+    return found.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, seed: int = 1, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept.
+    """One row per row of docs(doc_id, text, ...): doc_id, text_key, n_shingles, component_id,
+    kept.
     Pairs whose similarity is at least percent in 100 are linked.
 
     Rows of equal shingle sets form a class; classes that share a band are candidates.
     Shingles that only one candidate has cannot be shared, so a candidate with more
     than 100 - percent in 100 of them links with nothing, and they bound every pair (exactly).
     First every candidate is compared with one center of each of its bands, the one
-    with the least of its own, and the links give components. A band whose members are
-    then still in several components has its rest (all but its largest component)
-    compared with the others, each pair once and unless its profiles rule it out, so no
-    pair that shares a band stays unsettled, while a large group of near copies costs
-    little more than its size.
+    with the least of its own, and the links give components. The members of bands that
+    are then still in several components are compared where they share one of their
+    rarest shingles (_rare_pairs, exact for these members, so no pair that shares a band
+    stays unsettled): a large group of near copies costs little more than its size, and
+    so do letters of one form as far as what fills them differs.
 
     Null or word-less texts: an empty set, linked with nothing, kept. Null doc_id: such
-    rows give no links; kept unless their text's class has an id. Rows that share a
-    doc_id count as one document. Other columns of docs are not read."""
+    rows link as others do and are kept only if no row of their component has an id.
+    Rows that share a doc_id and differ in text are judged each by its own text. Other
+    columns of docs are not read."""
     sig = written(signatures(docs, seed, percent), "minhash-signatures")
-    classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    banded = classes.where("rep is not null").select("rep", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("bucket")
+    # a doc_id spreads the rows of a text that occurs often
+    place = F.coalesce("doc_id", "text_key").alias("place")
+    classes = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct(place, "text_key")).alias("text"), F.first("bands").alias("bands"))
+    banded = classes.select("node", "text", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = written(banded.join(shared.hint("merge"), "bucket", "left_semi"), "minhash-members")
 
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    full = shingle_sets(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(needed.hint("merge"), "doc_id", "left_semi"))
-    sets = written(_reduced(written(full, "minhash-sets")).where(100 * F.col("k") >= percent * F.col("n")), "minhash-reduced")
+    needed = members.select("text.place", "text.text_key").distinct()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key()).select(place, "text_key", "text")
+    one_each = rows.join(needed.hint("merge"), ["place", "text_key"], "left_semi").dropDuplicates(["place", "text_key"])
+    sets = written(_reduced(written(shingle_sets(one_each), "minhash-sets")).where(100 * F.col("k") >= percent * F.col("n")), "minhash-reduced")
 
-    able = sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("k").alias("k")).withColumnRenamed("doc_id", "rep")
-    members = cut(members.join(able.hint("merge"), "rep"))
-    nearest = F.struct((1 - F.col("k") / F.col("n")).alias("own"), "rep", "n", "k")
-    centers = members.groupBy("bucket").agg(F.min(nearest).alias("c")).select("bucket", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("c.k").alias("ka"))
-    first = members.join(centers.hint("merge"), "bucket").where((F.col("rep") != F.col("a")) & _can_link("n", "na", "k", "ka", percent))
-    first = cut(first.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
+    members = cut(members.select("bucket", "node").join(sets.select("node", "n", "k").hint("merge"), "node"))
+    nearest = F.struct((1 - F.col("k") / F.col("n")).alias("own"), "node", "n", "k")
+    centers = members.groupBy("bucket").agg(F.min(nearest).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.k").alias("ka"))
+    first = members.join(centers.hint("merge"), "bucket").where((F.col("node") != F.col("a")) & _can_link("n", "na", "k", "ka", percent))
+    first = cut(first.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
     near = cut(components(_confirmed(first, sets, percent)))
 
-    at = members.join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-    parts = at.groupBy("bucket", "part").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = cut(at.join(parts.select("bucket", "main"), "bucket"))
-    lists = open_.groupBy("rep").agg(F.collect_list("bucket").alias("own"))
-    profiles = _profiles(sets.join(lists.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).withColumnRenamed("doc_id", "rep")
-    open_ = cut(open_.join(lists, "rep").join(profiles, "rep"))
-    rest = open_.where("part <> main").toDF(*[f"{c}1" if c not in ("bucket", "main") else c for c in open_.columns]).drop("main")
-    others = open_.toDF(*[f"{c}2" if c not in ("bucket", "main") else c for c in open_.columns])
-    apart = (F.col("part1") != F.col("part2")) & ((F.col("part2") == F.col("main")) | (F.col("rep1") < F.col("rep2"))) & _can_link("n1", "n2", "k1", "k2", percent)
-    # a pair of several bands is taken in one; the profiles bound what it can share
-    once = F.array_min(F.array_intersect("own1", "own2")) == F.col("bucket")
-    bound = F.aggregate(F.zip_with("profile1", "profile2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
-    pairs = (
-        rest.join(others, "bucket")
-        .where(apart & once & (100 * bound >= percent * (F.col("n1") + F.col("n2") - bound)))
-        .select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
+    at = members.join(near, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    open_ = at.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
+    unsettled = at.join(open_.hint("merge"), "bucket", "left_semi").select("node", "part").distinct()
+    pairs = _rare_pairs(sets.join(unsettled.hint("merge"), "node"), percent).join(first, ["a", "b"], "left_anti")
     more = _confirmed(pairs, sets, percent)
     lifted = more.join(near.toDF("a", "pa"), "a", "left").join(near.toDF("b", "pb"), "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
     joined = cut(components(lifted))
     final = (
-        near.toDF("rep", "part").unionByName(joined.select(F.col("node").alias("rep"), F.col("node").alias("part")))
-        .groupBy("rep").agg(F.min("part").alias("part"))
+        near.toDF("node", "part").unionByName(joined.select("node", F.col("node").alias("part")))
+        .groupBy("node").agg(F.min("part").alias("part"))
         .join(joined.toDF("part", "whole"), "part", "left")
-        .select("rep", F.coalesce("whole", "part").alias("component"))
-    )
-    named = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")).join(final, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    return (
-        sig.select("doc_id", "n_shingles", "set_key")
-        .join(named, "set_key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+        .select("node", F.coalesce("whole", "part").alias("component"))
     )
+    # a component is named after its smallest doc_id
+    firsts = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    linked = cut(firsts.join(final.hint("merge"), "node"))
+    names = linked.groupBy("component").agg(F.min("first").alias("name"))
+    of_node = linked.join(names.hint("merge"), "component").select("node", "name")
+    named = firsts.join(of_node.hint("merge"), "node", "left").select("node", F.coalesce("name", "first").alias("component_id"))
+    out = ["doc_id", "text_key", "n_shingles", "component_id"]
+    linkable = sig.where("node is not null").join(named.hint("merge"), "node").select(*out)
+    empty = sig.where("node is null").withColumn("component_id", F.col("doc_id")).select(*out)
+    return linkable.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def deduplicate(docs: DataFrame, seed: int = 1, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows that near_duplicates does not keep; of rows that are
-    equal in doc_id and text one stays. All columns are returned as they came."""
-    dropped = near_duplicates(docs, seed, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("__gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    """docs without the rows that near_duplicates does not keep, each row by its own text;
+    of rows that are equal in doc_id and text one stays. All columns are returned as they came."""
+    kept = near_duplicates(docs, seed, percent)
+    gone = kept.where(~F.col("kept")).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__key"))
+    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"])

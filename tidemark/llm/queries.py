@@ -53,7 +53,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_key")
 
 
 def op9_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
