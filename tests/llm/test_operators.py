@@ -472,3 +472,21 @@ def test_rows_that_share_a_doc_id_are_judged_by_themselves(spark):
     other = " ".join("o%d" % i for i in range(200))
     docs = spark.createDataFrame([(1, base), (2, base.replace("b7 ", "c7 ")), (2, other), (3, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text or "") for r in minhash.deduplicate(docs).collect()) == [(1, base), (2, other), (3, "")]
+
+
+def test_windows_of_long_texts_are_those_of_their_parts(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab c日") for _ in range(n)) for n in (1, 3, 49, 50, 51, 100, 333, 7)]
+    whole = quality._Windows(texts)
+    monkeypatch.setattr(quality, "_CHUNK", 50)
+    parts = quality._Windows(texts)
+    assert parts.names().tolist() == whole.names().tolist() and parts.counts().tolist() == whole.counts().tolist()
+    weights = np.arange(len(whole.codes), dtype=np.float32)
+    assert np.allclose(parts.means(weights), whole.means(weights))
+    places = {g: i for i, g in enumerate(whole.names().tolist())}
+    for t, mean in zip(texts, whole.means(weights), strict=True):
+        t = "\x01" * 4 + t + "\x02"
+        own = [places[t[i : i + 5]] for i in range(len(t) - 4)]
+        assert math.isclose(mean, sum(own) / len(own))

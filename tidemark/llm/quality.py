@@ -31,19 +31,18 @@ FOLDS = 5
 QUANTILE = 0.98
 #: Characters after which a block is closed (a document is never split), and characters
 #: whose windows are made at once.
-BLOCK_CHARS, _CHUNK = 8_000_000, 1_000_000
+BLOCK_CHARS, _CHUNK = 32_000_000, 1_000_000
 _START, _END = 1, 2
 
 
 class _Windows:
-    """The windows of a block's texts: names (its distinct windows), and each text's places
-    among them."""
+    """The windows of a block's texts: names (the distinct ones), their counts, and each
+    text's mean of weights that they are given."""
 
     def __init__(self, texts: list[str]) -> None:
         self.texts = texts
         present = np.zeros(0x110000, bool)
-        present[[_START, _END]] = True
-        for s in self._sequences():
+        for s, _, _ in self._stretches():
             present[s] = True
         self.alphabet = np.flatnonzero(present).astype(np.uint32)
         self.rank = np.cumsum(present) - 1
@@ -54,18 +53,33 @@ class _Windows:
             self.heads = self._distinct(lambda x: self._code(x, 0, ORDER - 2))
         self.codes = self._distinct(self._codes)
 
-    def _sequences(self) -> Iterator[np.ndarray]:
-        """Code points of one or several texts, each between its start and end marks."""
-        held, n = [], 0
-        for t in self.texts:
-            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-            held += [np.full(ORDER - 1, _START, np.uint32), np.maximum(points, 3), np.full(1, _END, np.uint32)]
-            n += len(points)
-            if n >= _CHUNK:
-                yield np.concatenate(held)
-                held, n = [], 0
+    def _stretches(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+        """Code points of texts and parts of long texts between start and end marks; whether
+        a window begins at each place; the text and number of windows of each part."""
+        held, owners, n = [], [], 0
+        for i, t in enumerate(self.texts):
+            for at in range(0, len(t) + 1, _CHUNK):
+                # windows at to at + _CHUNK of the marked text; the last one ends in the end mark
+                part = t[max(0, at - ORDER + 1) : at + _CHUNK]
+                points = [np.maximum(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32), 3)]
+                if at == 0:
+                    points.insert(0, np.full(ORDER - 1, _START, np.uint32))
+                if at + _CHUNK > len(t):
+                    points.append(np.full(1, _END, np.uint32))
+                held += points
+                windows = sum(map(len, points)) - ORDER + 1
+                owners.append((i, windows))
+                n += windows
+                if n >= _CHUNK:
+                    yield self._joined(held, owners)
+                    held, owners, n = [], [], 0
         if held:
-            yield np.concatenate(held)
+            yield self._joined(held, owners)
+
+    @staticmethod
+    def _joined(held: list[np.ndarray], owners: list[tuple[int, int]]):
+        inside = np.repeat(np.tile([True, False], len(owners)), [x for _, n in owners for x in (n, ORDER - 1)])
+        return np.concatenate(held), inside[: 1 - ORDER], owners
 
     def _code(self, x: np.ndarray, first: int, n: int) -> np.ndarray:
         size = len(x) - ORDER + 1
@@ -79,18 +93,15 @@ class _Windows:
             return self._code(x, 0, ORDER)
         return np.searchsorted(self.heads, self._code(x, 0, ORDER - 2)) * len(self.alphabet) ** 2 + self._code(x, ORDER - 2, 2)
 
-    def _places(self, code) -> Iterator[np.ndarray]:
-        """The codes of the windows of each stretch of texts, in order. A window that has an
-        end mark before its last character goes over into the next text and is left out."""
-        for s in self._sequences():
-            ends = np.concatenate([[0], np.cumsum(s == _END)])
-            size = len(s) - ORDER + 1
-            yield code(self.rank[s])[ends[ORDER - 1 : ORDER - 1 + size] == ends[:size]]
+    def _places(self) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+        """The numbers of the windows of each stretch, in order, and its parts."""
+        for s, inside, owners in self._stretches():
+            yield np.searchsorted(self.codes, self._codes(self.rank[s])[inside]), owners
 
     def _distinct(self, code) -> np.ndarray:
         out = np.zeros(0, np.int64)
-        for c in self._places(code):
-            out = np.union1d(out, c)
+        for s, inside, _ in self._stretches():
+            out = np.union1d(out, np.unique(code(self.rank[s])[inside]))
         return out
 
     def names(self) -> np.ndarray:
@@ -110,15 +121,17 @@ class _Windows:
     def counts(self) -> np.ndarray:
         """How often each distinct window occurs."""
         out = np.zeros(len(self.codes), np.int64)
-        for c in self._places(self._codes):
-            out += np.bincount(np.searchsorted(self.codes, c), minlength=len(out))
+        for places, _ in self._places():
+            out += np.bincount(places, minlength=len(out))
         return out
 
-    def means(self, weights: np.ndarray) -> list[float]:
+    def means(self, weights: np.ndarray) -> np.ndarray:
         """The mean weight of each text's windows (weights: of the distinct ones)."""
-        sums = np.concatenate([weights[np.searchsorted(self.codes, c)].astype(np.float64) for c in self._places(self._codes)])
-        ends = np.cumsum([len(t) + 1 for t in self.texts])
-        return (np.add.reduceat(sums, np.concatenate([[0], ends[:-1]])) / np.array([len(t) + 1 for t in self.texts])).tolist()
+        out = np.zeros(len(self.texts))
+        for places, owners in self._places():
+            text, n = np.array(owners).T
+            np.add.at(out, text, np.add.reduceat(weights[places].astype(np.float64), np.cumsum(n) - n))
+        return out / np.array([len(t) + 1 for t in self.texts])
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -133,7 +146,7 @@ def packed(docs: DataFrame) -> DataFrame:
         for rows in _blocks(batches):
             ids, langs, keys, texts = zip(*rows, strict=True)
             data = [t.encode("utf-8", "surrogatepass") for t in texts]
-            row = [part << 32 | n, ids, langs, keys, zstandard.compress(b"".join(data), 6), list(map(len, data)), _Windows(texts).names().tolist()]
+            row = [part << 32 | n, ids, langs, keys, zstandard.compress(b"".join(data), 9), list(map(len, data)), _Windows(texts).names().tolist()]
             n += 1
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in fields])
@@ -226,7 +239,7 @@ def perplexities(blocks: DataFrame, model: DataFrame) -> DataFrame:
     """blocks' documents -> doc_id, lang, key, perplexity. model: (gram, p)."""
     weight = model.select("gram", (-F.log(F.greatest("p", F.lit(1e-12)))).cast("float").alias("w"))
     asked = blocks.select("block", F.posexplode("names").alias("at", "gram"))
-    given = asked.join(weight.hint("merge"), "gram").groupBy("block").agg(F.collect_list(F.struct("at", "w")).alias("given"))
+    given = written(asked.join(weight.hint("merge"), "gram").groupBy("block").agg(F.collect_list(F.struct("at", "w")).alias("given")), "quality-given")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +250,7 @@ def perplexities(blocks: DataFrame, model: DataFrame) -> DataFrame:
                 by_place = np.empty(len(at), np.float32)
                 by_place[at] = w
                 means = _Windows(_unpacked(texts, sizes)).means(by_place)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(np.exp(means))], names=["doc_id", "lang", "key", "perplexity"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(np.exp(means), pa.float64())], names=["doc_id", "lang", "key", "perplexity"])
 
     joined = blocks.drop("names").join(given.hint("merge"), "block").select("ids", "langs", "keys", "texts", "bytes", "given")
     return joined.mapInArrow(run, "doc_id long, lang string, key long, perplexity double")
