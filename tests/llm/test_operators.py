@@ -490,3 +490,56 @@ def test_windows_of_long_texts_are_those_of_their_parts(monkeypatch):
         t = "\x01" * 4 + t + "\x02"
         own = [places[t[i : i + 5]] for i in range(len(t) - 4)]
         assert math.isclose(mean, sum(own) / len(own))
+
+
+def test_main_text_of_broken_markup():
+    got = {
+        '<a href="x>link</a>': "link",
+        "<a href=it's>link</a> and it's <p>two": "link and it's\n\ntwo",
+        "<body><svg><p>x</div><p>after": "x\n\nafter",
+        "<div><svg><path>q</svg>a</div><object>b<p>c</object><p>after": "a\n\nafter",
+        "<title>t</title x>a<script>x</scripted></script foo>b<SCRIPT>y": "ab",
+        "<p title='a > b' data-x=\"<p>\">in</p>": "in",
+        "<article><header><h1>Title</h1></header><p>x<p class='side'>y<p class=ad>z<div class='related'>r</div><div class='entry-header'>h</div></article>": "Title\n\nx\n\ny\n\nh",
+        "<p>a<b><i><u><s>b<div>c": "ab\n\nc",
+        "<p>a <button>x</button>b<select><option>y<p>z</select>c": "a b\n\nc",
+        "<p>a<button>x<p>c<label>l": "a\n\nc",
+        "<": "<", "a < b": "a < b", "<!-- x": "", "<p": "",
+    }
+    assert {k: style_tree.main_text(k) for k in got} == got
+
+
+def test_style_tree_is_the_plain_one(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    seen = {}
+    for r in pages.select(style_tree._host().alias("host"), F.xxhash64("html").alias("page"), "html").collect():
+        nodes = []
+        style_tree.blocks(r.html, nodes=nodes)
+        for n in nodes if r.host else ():
+            seen.setdefault((r.host, n.path), set()).add((r.page, " ".join(n.kids), n.content, n.leaves))
+    expected = {}
+    for key, rows in seen.items():
+        n_pages, m = len({r[0] for r in rows}), len(rows)
+        if n_pages > 1:
+            def entropy(at):
+                counts = {}
+                for r in rows:
+                    counts[r[at]] = counts.get(r[at], 0) + 1
+                return -sum(c / m * math.log(c / m) for c in counts.values()) / math.log(m)
+
+            weight = style_tree.GAMMA ** (sum(r[3] for r in rows) / m)
+            up = lambda x: (x * n_pages + style_tree.PRIOR) / (n_pages + style_tree.PRIOR)
+            expected[key] = (n_pages, entropy(1), up(entropy(2)), up((1 - weight) * entropy(1) + weight * entropy(2)))
+    got = {(r.host, r.node): (r.pages, r.presentation, r.content, r.importance) for r in style_tree.style_tree(pages).collect()}
+    assert got.keys() == expected.keys() and expected
+    assert all(math.isclose(a, b, abs_tol=1e-9) for k in got for a, b in zip(got[k], expected[k], strict=True))
+
+
+@pytest.mark.parametrize("n", [2, 3, 12])
+def test_the_tree_alone_removes_what_a_host_repeats(spark, n):
+    menu, notice, foot = "<nav><ul><li>Home<li>News</ul></nav>", "<div class='q'><p>We value you</p></div>", "<footer>All of us</footer>"
+    page = lambda i: f"<body>{menu}{notice}<div class='c'><h2>Title {i}</h2><p>Text number {i}</p><p>line {i * i}</p></div>{foot}"
+    pages = spark.createDataFrame([(i, f"https://h.example/{i}", page(i)) for i in range(n)] + [(99, "https://alone.example/", page(99))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extract(pages, names=False).collect()}
+    assert all(got[i] == f"Title {i}\n\nText number {i}\n\nline {i * i}" for i in range(n))
+    assert got[99].startswith("Home") and style_tree.extract(pages).where("page_id = 99").first().text.startswith("We value you")
