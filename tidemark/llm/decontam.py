@@ -1,25 +1,30 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark is a stated query set, taken in blocks of bounded size, each broadcast;
-every document meets every block, whole and in its own task, so no text is shuffled.
-Every word bigram of an item is a seed, whatever its count: an alignment of m matches and
-e edits has a run of at least m / (e + 1) matches, and one that reaches the similarity has
-more matches than e + 1, so it holds a bigram (items too short for that have single words
-as seeds). A document's seed hits, gathered along diagonals, open windows of its words as
-wide as the gaps of such an alignment can make them. Windows that have too few of the
-item's words to reach the similarity are left out, which is exact; the others are aligned
-with the item. The result is that of aligning every document with every item.
+every document meets every block, whole and in its own task, so no text is shuffled. An
+alignment of m matches and e edits has e + 1 runs of matches at most, so one that reaches
+the similarity has B = (2 similarity - 1) n - 1 of its item's n - 1 word bigrams at least.
+The n - B bigrams that stand in the fewest places of the block are the item's seeds: the
+stems that many items share are left out, and still each such alignment holds a seed
+(items too short for that have single words as seeds). A document's seed hits, gathered
+along diagonals, open windows of its words as wide as the gaps of such an alignment can
+make them. Windows that have too few of the item's words to reach the similarity are left
+out, which is exact; the others are aligned with the item. The result is that of aligning
+every document with every item.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: An alignment must score this share of the item's own.
 SIMILARITY = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -39,6 +44,11 @@ def gram_of(n: int, similarity: float) -> int:
     return 2 if n * (MATCH * similarity - 1) > 1 + 1e-9 else 1
 
 
+def seeds_of(n: int, similarity: float) -> int:
+    """How many of an item's bigrams have to be seeds: one more than can go unmatched."""
+    return n - max(1, math.ceil((MATCH * similarity - 1) * n - 1 - 1e-9))
+
+
 class _Block:
     """A block of items: word ids, and where each seed stands in which item."""
 
@@ -54,15 +64,23 @@ class _Block:
         size = [gram_of(len(x), similarity) for _, x in self.items]
         self.sizes = sorted(set(size))
         grams = [self.grams(x, k) for (_, x), k in zip(self.items, size, strict=True)]
+        places = self._rarest(grams, size)
+        grams = [g[p] for g, p in zip(grams, places, strict=True)]
         codes = np.concatenate(grams) if grams else np.zeros(0, np.int64)
         order = np.argsort(codes, kind="stable")
         self.seed_items = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
-        self.seed_places = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else codes
+        self.seed_places = np.concatenate(places)[order] if grams else codes
         self.seeds, self.first = np.unique(codes[order], return_index=True)
         self.n_places = np.diff(np.append(self.first, len(codes)))
         #: Each item's distinct words and how often it has them.
         self.words = [np.unique(x, return_counts=True) for _, x in self.items]
 
+    def _rarest(self, grams: list[np.ndarray], size: list[int]) -> list[np.ndarray]:
+        """The places of each item's seeds among its grams."""
+        _, which, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True) if grams else ([], np.zeros(0, int), np.zeros(0, int))
+        often = np.split(count[which], np.cumsum([len(g) for g in grams])[:-1]) if grams else []
+        return [np.sort(np.argsort(f, kind="stable")[: seeds_of(len(f) + 1, self.similarity)]) if k == 2 else np.arange(len(f)) for f, k in zip(often, size, strict=True)]
+
     def grams(self, x: np.ndarray, k: int) -> np.ndarray:
         """Codes of the k-word windows, negative for single words; 0 where a word is in no item."""
         if k == 1:
@@ -160,19 +178,15 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs(doc_id, text, ...), items(item_id, text, ...) -> doc_id, item_id, score,
-    first_word, end_word, seeds: one row for each document and item whose best local
-    alignment scores at least similarity of the item's own (the words it spans in the
-    document, from 0; the seed hits that led there).
+_FOUND = "doc_id long, key long, item_id long, score double, first_word long, end_word long, seeds long"
 
-    Null or empty texts on either side leak nothing, null item_ids are left out, and a
-    null doc_id is returned as null. Repeated rows give one row. No item or document is
-    cut or left out."""
+
+def _all_leaks(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """leaks' rows, with the key (xxhash64) of the text that each was found in. Each block's
+    rows are stored, so that its broadcast can go before the next one is made."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    schema = "doc_id long, item_id long, score double, first_word long, end_word long, seeds long"
-    out = spark.createDataFrame([], schema)
+    texts = docs.select(F.col("doc_id").cast("long"), _key(docs).alias("key"), F.col("text").cast("string")).where("text is not null")
+    out = spark.createDataFrame([], _FOUND)
     for items_of in _blocks(items):
         block = _Block(items_of, similarity)
         if not block.items:
@@ -182,17 +196,35 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             b = sent.value
             for batch in batches:
-                rows = [(d, *f) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in _found(b, b.encode(t)) if f[1] >= similarity]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word", "seeds"])
+                rows = [(d, h, *f) for d, h, t in zip(*[c.to_pylist() for c in batch.columns], strict=True) for f in _found(b, b.encode(t)) if f[1] >= similarity]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
-        out = out.unionByName(texts.mapInArrow(find, schema))
+        out = out.unionByName(written(texts.mapInArrow(find, _FOUND), "leaks"))
+        sent.destroy()
+    return out
+
+
+def _key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs(doc_id, text, ...), items(item_id, text, ...) -> doc_id, item_id, score,
+    first_word, end_word, seeds: one row for each document and item whose best local
+    alignment scores at least similarity of the item's own (the words it spans in the
+    document, from 0; the seed hits that led there).
+
+    Null or empty texts on either side leak nothing, null item_ids are left out, and a
+    null doc_id is returned as null. Repeated rows give one row, and so do rows that share
+    a doc_id. No item or document is cut or left out."""
     best = F.max_by(F.struct("score", "first_word", "end_word", "seeds"), F.struct("score", "seeds", -F.col("first_word"))).alias("b")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    return _all_leaks(docs, items, similarity).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents that leak an item, all columns as they came."""
-    gone = leaks(docs, items).where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without the rows whose text leaks an item, all columns as they came. Rows that
+    share a doc_id, or have none, are judged each by its own text."""
+    gone = _all_leaks(docs, items, similarity).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (_key(docs) == F.col("__key")), "left_anti")
