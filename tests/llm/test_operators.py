@@ -590,3 +590,25 @@ def test_leaks_of_the_given_tables(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
     names = {i for i, _ in items}
     assert {x for x in got if x[1] in names} == expected and expected
+
+
+def test_archives_of_the_given_pages(spark, monkeypatch):
+    """The whole table, repeated rows, and pages too long to share a file, against a plain
+    resolution."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 18)
+    long_ = "<p>" + "long " * 100_000
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    extra = spark.createDataFrame([(10**6 + i, "http://x/", long_ if i % 2 else long_ + "é" * i) for i in range(5)] + [(10**7, None, "a" * 999), (10**7 + 1, "u", "a" * 999), (10**7 + 2, "u", "a" * 1000), (10**7 + 3, "u", "a" * 1000)], pages.schema)
+    pages = pages.unionByName(extra).unionByName(pages.where("page_id % 7 = 0").withColumn("page_id", F.col("page_id") + 10**5))
+    path = scratch(spark, "t")
+    warc.write_archives(pages, path)
+    rows = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
+    last = {}
+    for i, data in rows:
+        last[data] = max(last.get(data, i), i)
+    expected = sorted((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if len(data) >= 1000 and last[data] != i else "response", last[data] if len(data) >= 1000 and last[data] != i else None) for i, data in rows)
+    got = warc.catalog_of(warc.read_archives(spark, path)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expected
+    assert sum(1 for x in expected if x[3] == "revisit") > 3
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).count()
+    assert sizes > 5

@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Payloads below this many bytes are always written in full.
 REVISIT_BYTES = 1000
-#: Records in one archive file at most; a file is read as a whole.
-FILE_RECORDS = 4000
+#: Bytes of payload in one archive file at most (or one record): a file is read as a
+#: whole. Records of up to _SMALL bytes share files, larger ones those of their size.
+FILE_BYTES, _SMALL = 64 << 20, 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = "record_id string, record_type string, refers_to string, digest string, target_uri string, payload binary"
@@ -45,13 +48,16 @@ def resolved(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     long_ = F.octet_length("payload") >= revisit_bytes
     heads = rows.where(long_).select("digest", "page_id")
     originals = heads.groupBy("digest").agg(F.max("page_id").alias("__original"), F.count("*").alias("__n")).where("__n > 1").select("digest", "__original")
-    joined = rows.join(originals.hint("merge"), "digest", "left")
+    # what cannot be a revisit meets nothing, and is spread instead of met by its digest
+    alone = F.concat(F.lit("alone "), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")))
+    joined = rows.withColumn("__key", F.when(long_, F.col("digest")).otherwise(alone)).join(originals.withColumnRenamed("digest", "__key").hint("merge"), "__key", "left")
     original = F.when(long_ & ((F.col("page_id") != F.col("__original")) | F.col("page_id").isNull()), F.col("__original"))
     return joined.select("page_id", "url", "payload", "digest", original.alias("original"))
 
 
 def records(rows: DataFrame, date: str = DATE) -> DataFrame:
-    """resolved rows -> (record): whole WARC records without their closing blank lines."""
+    """resolved rows -> (record): whole WARC records without their closing blank lines
+    (and the file that they go to, if rows name it)."""
     revisit = F.col("original").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
@@ -64,7 +70,8 @@ def records(rows: DataFrame, date: str = DATE) -> DataFrame:
             F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _record_id(F.col("original")))).otherwise(F.lit("")),
             F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length("block").cast("string"),
             F.lit("\r\n\r\n"), F.col("block"),
-        ).alias("record")
+        ).alias("record"),
+        *[c for c in rows.columns if c == "file"],
     )
 
 
@@ -75,8 +82,14 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
     response and the others are revisits (rows that share that page_id are responses
     all; null page_ids are revisits unless all are null). Null html: an empty payload.
     Null url: an empty target. No rows: no records."""
-    out = records(resolved(pages, revisit_bytes))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows = resolved(pages, revisit_bytes)
+    size = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.octet_length("payload"), F.lit(_SMALL)))))
+    at_once = F.greatest(F.lit(1), F.floor(F.lit(FILE_BYTES) / size))
+    # a row's number in its task (the low 33 bits), cut by how many of its size fill a file
+    in_task = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    file = F.concat_ws("-", size.cast("long"), F.floor(in_task / at_once).cast("long"))
+    out = records(rows.withColumn("file", file)).select("record", "file")
+    out.write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -104,13 +117,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["record_id", "record_type", "refers_to", "digest", "target_uri", "payload"])
                         rows, size = [], 0
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, _READ)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, _READ)
 
 
 def catalog_of(archives: DataFrame) -> DataFrame:
     """read_archives rows -> page_id, payload_bytes, payload_digest, record_type,
     refers_to: the digest is computed from what was read, a revisit's length and digest
-    come from the response that it is joined to."""
+    come from the response that it is joined to. The archives are read once."""
     own = archives.select(
         F.expr("try_cast(nullif(regexp_extract(record_id, 'urn:page:(-?[0-9]+)', 1), '') as long)").alias("page_id"),
         "record_type",
@@ -118,6 +131,7 @@ def catalog_of(archives: DataFrame) -> DataFrame:
         F.octet_length("payload").cast("long").alias("n"),
         F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
     )
+    own = cut(own)
     responses = own.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest")).agg(F.max("n").alias("__n"))
     out = own.join(responses.hint("merge"), (F.col("refers_to") == F.col("__id")) & (F.col("payload_digest") == F.col("__digest")), "left")
     return out.select("page_id", F.coalesce("__n", "n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
