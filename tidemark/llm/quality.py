@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -52,6 +53,7 @@ class _Windows:
         if float(len(self.alphabet)) ** ORDER >= 2.0**63:
             self.heads = self._distinct(lambda x: self._code(x, 0, ORDER - 2))
         self.codes = self._distinct(self._codes)
+        self.index = pd.Index(self.codes)
 
     def _stretches(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
         """Code points of texts and parts of long texts between start and end marks; whether
@@ -96,13 +98,13 @@ class _Windows:
     def _places(self) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
         """The numbers of the windows of each stretch, in order, and its parts."""
         for s, inside, owners in self._stretches():
-            yield np.searchsorted(self.codes, self._codes(self.rank[s])[inside]), owners
+            yield self.index.get_indexer(self._codes(self.rank[s])[inside]), owners
 
     def _distinct(self, code) -> np.ndarray:
         out = np.zeros(0, np.int64)
         for s, inside, _ in self._stretches():
-            out = np.union1d(out, np.unique(code(self.rank[s])[inside]))
-        return out
+            out = pd.unique(np.concatenate([out, pd.unique(code(self.rank[s])[inside])]))
+        return np.sort(out)
 
     def names(self) -> np.ndarray:
         """The distinct windows as strings, in the order of their codes."""
@@ -146,7 +148,7 @@ def packed(docs: DataFrame) -> DataFrame:
         for rows in _blocks(batches):
             ids, langs, keys, texts = zip(*rows, strict=True)
             data = [t.encode("utf-8", "surrogatepass") for t in texts]
-            row = [part << 32 | n, ids, langs, keys, zstandard.compress(b"".join(data), 9), list(map(len, data)), _Windows(texts).names().tolist()]
+            row = [part << 32 | n, ids, langs, keys, _compressed(b"".join(data)), list(map(len, data)), _Windows(texts).names().tolist()]
             n += 1
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in fields])
@@ -168,6 +170,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
+def _compressed(data: bytes) -> bytes:
+    """With copies found over the whole block."""
+    how = zstandard.ZstdCompressionParameters.from_level(6, window_log=25, enable_ldm=True)
+    return zstandard.ZstdCompressor(compression_params=how).compress(data)
+
+
 def _unpacked(texts: bytes, sizes: list[int]) -> list[str]:
     data, ends = zstandard.decompress(texts), np.cumsum([0, *sizes]).tolist()
     return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(ends, ends[1:], strict=False)]
@@ -239,17 +247,13 @@ def perplexities(blocks: DataFrame, model: DataFrame) -> DataFrame:
     """blocks' documents -> doc_id, lang, key, perplexity. model: (gram, p)."""
     weight = model.select("gram", (-F.log(F.greatest("p", F.lit(1e-12)))).cast("float").alias("w"))
     asked = blocks.select("block", F.posexplode("names").alias("at", "gram"))
-    given = written(asked.join(weight.hint("merge"), "gram").groupBy("block").agg(F.collect_list(F.struct("at", "w")).alias("given")), "quality-given")
+    given = written(asked.join(weight.hint("merge"), "gram").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]).alias("given")), "quality-given")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, langs, keys, texts, sizes = (batch.column(k)[i].as_py() for k in range(5))
-                weights = batch.column(5)[i].values
-                at, w = (weights.field(k).to_numpy() for k in (0, 1))
-                by_place = np.empty(len(at), np.float32)
-                by_place[at] = w
-                means = _Windows(_unpacked(texts, sizes)).means(by_place)
+                means = _Windows(_unpacked(texts, sizes)).means(batch.column(5)[i].values.to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(np.exp(means), pa.float64())], names=["doc_id", "lang", "key", "perplexity"])
 
     joined = blocks.drop("names").join(given.hint("merge"), "block").select("ids", "langs", "keys", "texts", "bytes", "given")
