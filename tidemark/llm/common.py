@@ -63,3 +63,19 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     with _tidied(df.sparkSession):
         return df.checkpoint()
+
+
+@contextmanager
+def bucketed(df: DataFrame, name: str, key: str) -> Iterator[DataFrame]:
+    """df stored below the shared folder in as many buckets by key as shuffles have
+    partitions, for joins by key that leave its rows where they are. The table's name
+    goes at the end, its files stay."""
+    spark = df.sparkSession
+    table_name = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with _tidied(spark):
+        df.write.option("path", scratch(spark, name)).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table_name, format="parquet")
+    try:
+        yield spark.table(table_name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table_name}")

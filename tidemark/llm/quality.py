@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import bucketed, cut, written
 
 ORDER = 5
 #: One trusted document in FOLDS is held out of training to set the thresholds.
@@ -140,7 +140,7 @@ def packed(docs: DataFrame) -> DataFrame:
     """docs(doc_id, lang, text) -> a row for each block of documents with text: block, ids,
     langs, keys (of the texts), texts (compressed), bytes (of each text), names (the
     windows). A block's rows are a partition's in their order, so the table has to be
-    written before it is used twice."""
+    stored before it is used twice (bucketed by block, its joins do not move the texts)."""
     fields = ["block long", "ids array<long>", "langs array<string>", "keys array<long>", "texts binary", "bytes array<int>", "names array<string>"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +247,7 @@ def perplexities(blocks: DataFrame, model: DataFrame) -> DataFrame:
     """blocks' documents -> doc_id, lang, key, perplexity. model: (gram, p)."""
     weight = model.select("gram", (-F.log(F.greatest("p", F.lit(1e-12)))).cast("float").alias("w"))
     asked = blocks.select("block", F.posexplode("names").alias("at", "gram"))
-    given = written(asked.join(weight.hint("merge"), "gram").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]).alias("given")), "quality-given")
+    given = asked.join(weight.hint("merge"), "gram").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]).alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,9 +282,9 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     never trusted; repeated rows count as often as they occur."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), text_key().alias("key"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
-    blocks = written(packed(docs), "quality-blocks")
-    levels = orders(written(window_counts(blocks, trusted_ids(labels).where(fold != 0)), "quality-counts"))
-    scored = cut(perplexities(blocks, kneser_ney(levels)))
+    with bucketed(packed(docs), "quality-blocks", "block") as blocks:
+        levels = orders(written(window_counts(blocks, trusted_ids(labels).where(fold != 0)), "quality-counts"))
+        scored = cut(perplexities(blocks, kneser_ney(levels)))
     sure = cut(scored.join(trusted_ids(labels).where(fold == 0), "doc_id", "left_semi").select("lang", "perplexity"))
     at = lambda: F.percentile_approx("perplexity", quantile, 10000)
     by = sure.groupBy("lang").agg(at().alias("own")).select(F.col("lang").alias("__lang"), "own")
