@@ -8,7 +8,7 @@ from operator import add, and_, or_
 
 from pyspark.sql import functions as F
 
-from ..core import AT, W, fdiv, full, transform
+from ..core import AT, CUM, fdiv, full, transform
 
 TYPES = {"string": "string", "number": "double", "boolean": "boolean", "timestamp": "timestamp"}
 # The named constants.
@@ -51,7 +51,7 @@ def _register() -> None:
         transform(f"ffill_{kind}")(_ffill)
         transform(f"alias_{kind}")(lambda s, x: x)
         for n in range(2, 6):
-            transform(f"switch{n}_{kind}")(lambda s, i, *slots: F.when(i.isNotNull(), F.element_at(F.array(*slots), i.cast("int") + 1)))
+            transform(f"switch{n}_{kind}")(_switch)
     transform("alias_decimal", "alias_integer")(lambda s, x: x)
     for to, dtype in (("integer", "long"), ("decimal", "double"), ("string", "string"), ("timestamp", "timestamp")):
         transform(f"static_cast_to_{to}")(lambda s, x, dtype=dtype: x.cast(dtype))
@@ -64,13 +64,20 @@ def _conditional(s, *x):
     return out
 
 
+def _switch(s, i, *slots):
+    """The slot numbered i from 0; an i beyond the slots is an error, a null one gives null."""
+    i = i.cast("int")
+    wrong = F.raise_error(F.concat(F.lit("no slot "), i.cast("string")))
+    return F.when((i < 0) | (i >= len(slots)), wrong).otherwise(F.get(F.array(*slots), i))
+
+
 def _percentile_select(s, x, high, low, lookback=14, percentile=80):
     q = s.add(full(lookback, F.percentile(x, percentile / 100), x))
     return F.when(x >= q, high).when(x < q, low)
 
 
 def _ffill(s, x):
-    return F.last(x, ignorenulls=True).over(W().rowsBetween(-(2**31), 0))
+    return F.last(x, ignorenulls=True).over(CUM())
 
 
 _register()

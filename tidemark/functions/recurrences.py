@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..core import CUM, REGISTRY, W, fdiv, full, rows, transform
 from .windows import _flow, true_range
@@ -221,7 +222,7 @@ def kvo(s, short_period=14, long_period=28):
     run = s.add(F.sum(turned).over(CUM()))
     wide = s.h - s.l
     first = W().partitionBy("asset_id", run)
-    cm = s.add(F.sum(wide).over(first.orderBy("ts").rowsBetween(-(2**31), 0)) + F.coalesce(F.first(s.add(s.lag(wide))).over(first.orderBy("ts")), F.lit(0.0)))
+    cm = s.add(F.sum(wide).over(first.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.first(s.add(s.lag(wide))).over(first.orderBy("ts")), F.lit(0.0)))
     force = s.add(F.when(trend.isNotNull(), s.v * trend * 100 * F.abs(2 * fdiv(wide, cm) - 1)))
     a, b = emas(s, (force, short_period), (force, long_period))
     return a - b

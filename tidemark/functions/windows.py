@@ -240,7 +240,7 @@ def stoch(s, k_period=14, k_slowing_period=3, d_period=3):
 @transform("ultosc")
 def ultosc(s, short_period=7, medium_period=14, long_period=28):
     c1 = s.lag(s.c)
-    bp, tr = s.add(s.c - F.least(s.l, c1)), s.add(F.greatest(s.h, c1) - F.least(s.l, c1))
+    bp, tr = (s.add(F.when(c1.isNotNull(), x)) for x in (s.c - F.least(s.l, c1), F.greatest(s.h, c1) - F.least(s.l, c1)))
     part = lambda n: fdiv(full(n, F.sum(bp), bp), full(n, F.sum(tr), tr))
     return 100 * (4 * part(short_period) + 2 * part(medium_period) + part(long_period)) / 7
 
