@@ -612,3 +612,28 @@ def test_archives_of_the_given_pages(spark, monkeypatch):
     assert sum(1 for x in expected if x[3] == "revisit") > 3
     sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).count()
     assert sizes > 5
+
+
+def test_sharding_of_hot_rows(spark, monkeypatch):
+    """A third of the rows are one row again and again, a third share a doc_id: buckets are
+    split, every row stays, and the order does not follow the session's partitions."""
+    monkeypatch.setattr(sharding, "LEAST_BUCKETS", 4)
+    rows = [(7, "same " * 200)] * 900 + [(8, "text %d " % i * 50) for i in range(900)] + [(1000 + i, None if i % 9 == 0 else "other " * (i % 40)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sharding.shard(docs).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((i, t or "") for i, t in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(by) == 8 and all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    # each shard has its part of the hot row
+    hot = [sum(1 for r in got if r.doc_id == 7 and r.shard == k) for k in range(8)]
+    assert max(hot) < 500
+    unequal = docs.where("doc_id <> 7")
+    order = lambda: {(r.doc_id, r.text): (r.shard, r.slot) for r in sharding.shard(unequal).collect()}
+    one = order()
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert order() == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
