@@ -284,7 +284,7 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
     with bucketed(packed(docs), "quality-blocks", "block") as blocks:
         levels = orders(written(window_counts(blocks, trusted_ids(labels).where(fold != 0)), "quality-counts"))
-        scored = cut(perplexities(blocks, kneser_ney(levels)))
+        scored = cut(perplexities(blocks, written(kneser_ney(levels), "quality-model")))
     sure = cut(scored.join(trusted_ids(labels).where(fold == 0), "doc_id", "left_semi").select("lang", "perplexity"))
     at = lambda: F.percentile_approx("perplexity", quantile, 10000)
     by = sure.groupBy("lang").agg(at().alias("own")).select(F.col("lang").alias("__lang"), "own")
