@@ -200,6 +200,44 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("bars_out").collect())) == sorted(map(tuple, feeds.event_bars(spark, SF).select("asset_id", "ts", "o", "h", "l", "c", "v").collect()))
 
 
+def test_order_blocks(spark):
+    """A high at row 2 is passed by the close of row 5: the lowest bar between is row 4; row 7
+    falls below it, and row 9 rises above its top and takes it back."""
+    h = [10, 11, 15, 12, 11, 17, 18, 14, 9, 20, 21, 19]
+    l = [8, 9, 12, 10, 7, 11, 15, 6, 5, 8, 18, 15]  # noqa: E741
+    c = [9, 10, 13, 11, 8, 16, 17, 7, 6, 19, 20, 16]
+    kinds = [None, None, 1, None, None, None, 1, None, -1, None, 1, None]
+    rows = [("A", dt.datetime(2020, 1, 1) + dt.timedelta(days=i), float(c[i]), float(h[i]), float(l[i]), float(c[i]), float(i + 1), kinds[i]) for i in range(12)]
+    b = spark.createDataFrame(rows, "asset_id string, ts timestamp, o double, h double, l double, c double, v double, k int")
+    whole = apply(b, "order_blocks", "b", "k")
+    names = [f"b_{x}" for x in ("ob", "top", "bottom", "ob_volume", "mitigated_index", "percentage")]
+    shown = {i: tuple(r[n] for n in names) for i, r in enumerate(whole.orderBy("ts").collect()) if r.b_ob is not None}
+    # the close of row 9 passes the high of row 6: the lowest bar between is row 8
+    assert shown == {8: (1, 9.0, 5.0, 27.0, 0, 8 / 19 * 100)}
+    first = apply(b.where("ts < '2020-01-10'"), "order_blocks", "b", "k")
+    shown = {i: tuple(r[n] for n in names) for i, r in enumerate(first.orderBy("ts").collect()) if r.b_ob is not None}
+    assert shown == {4: (1, 11.0, 7.0, 15.0, 6, 4 / 11 * 100)}
+
+
+def test_switch_beyond_its_slots_and_forward_fill(spark):
+    b = bars(spark, i=[0, 1, None, 1], x=[1, None, 3, None], y=[5, 6, 7, 8])
+    assert values(apply(b, "switch2_number", "s", "i", "x", "y"), "s") == [1.0, 6.0, None, 8.0]
+    assert values(apply(b, "ffill_number", "f", "x"), "f") == [1.0, 1.0, 3.0, 3.0]
+    for wrong in (-1.0, -2.0, 2.0):
+        with pytest.raises(Exception, match="no slot"):
+            apply(b.withColumn("i", F.lit(wrong)), "switch2_number", "s", "i", "x", "y").collect()
+
+
+def test_feeds_are_checked(spark):
+    b = bars(spark, c=[1, 2, 3])
+    facts = b.where("c > 1").select("asset_id", "ts", F.lit("A").alias("ticker"), F.lit("1").alias("id"), *[F.lit(1.0).alias(x) for x in ("split_from", "split_to", "split_ratio")])
+    assert values(feeds.with_feed_id(b, facts, "splits"), "S:split_ratio") == [None, 1.0, 1.0]
+    with pytest.raises(ValueError, match="lacks"):
+        feeds.with_feed_id(b, facts.drop("id"), "splits")
+    with pytest.raises(ValueError, match="no dividend_type"):
+        feeds.with_feed_id(b, facts, "dividends", dividend_type="??")
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()

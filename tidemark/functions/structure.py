@@ -156,3 +156,63 @@ def previous_high_low(s, timeframe="1D"):
 
 def label_of(timeframe: str) -> Column:
     return F.max(label(timeframe)).alias("at")
+
+
+@transform("order_blocks")
+def order_blocks(s, high_low, close_mitigation=False):
+    """Blocks of orders: a close beyond the last swing behind it (each swing once, and only
+    where another swing of its kind follows) marks the extreme bar between the two, or the
+    bar before where there is none between. ob is 1 above a high and -1 below a low;
+    ob_volume that of the last three bars, percentage the weaker part of it against the
+    stronger. A block is mitigated when a bar passes its far side (with close_mitigation
+    its body does), and taken back when a later bar then passes its near side. The row
+    (from 0) that mitigates is the bar's own for bearish blocks and the one before for
+    bullish ones; 0 if none. Elsewhere all are null."""
+
+    def run(given):
+        found, alive, last, crossed = {}, {1: [], -1: []}, {1: None, -1: None}, set()
+        final = {k: max((i for i, g in enumerate(given) if g[0] == k), default=-1) for k in (1, -1)}
+        for i, (kind, o, h, l, c, v) in enumerate(given):  # noqa: E741
+            for k in (1, -1):
+                alive[k] = [b for b in alive[k] if _kept(found, b, k, i, (o, h, l, c), close_mitigation)]
+            for k in (1, -1):
+                at = last[k]
+                if at is None or final[k] < i or at in crossed or not k * c > k * given[at][2 if k == 1 else 3]:
+                    continue
+                crossed.add(at)
+                between = range(at + 1, i)
+                if between:
+                    side = 3 if k == 1 else 2
+                    spot = max(between, key=lambda j: (-k * given[j][side], j))
+                    top, bottom = given[spot][2], given[spot][3]
+                else:
+                    spot = i - 1
+                    top, bottom = (given[spot][3], given[spot][2]) if k == 1 else (given[spot][2], given[spot][3])
+                new, old = v + given[max(i - 1, 0)][5], given[max(i - 2, 0)][5]
+                strength = 100.0 if max(new, old) == 0 else min(new, old) / max(new, old) * 100
+                done = found.get(spot, {"broken": False, "index": 0})
+                found[spot] = done | {"ob": k, "top": top, "bottom": bottom, "volume": new + old, "percentage": strength}
+                alive[k].append(spot)
+            if kind in (1, -1):
+                last[kind] = i
+        for i in range(len(given)):
+            b = found.get(i)
+            yield (b["ob"], b["top"], b["bottom"], b["volume"], b["index"], b["percentage"]) if b else (None,) * 6
+
+    kind = s.add(F.coalesce(high_low.cast("int"), F.lit(0)))
+    made = s.machine(run, [kind, s.o, s.h, s.l, s.c, s.v], "ob long,top double,bottom double,volume double,index long,percentage double")
+    return dict(zip(("ob", "top", "bottom", "ob_volume", "mitigated_index", "percentage"), made, strict=True))
+
+
+def _kept(found: dict, spot: int, k: int, i: int, bar: tuple, by_body: bool) -> bool:
+    """Whether a block lives on after a bar, which may mitigate it or take it back."""
+    b, (o, h, l, c) = found.get(spot), bar  # noqa: E741
+    if b is None:
+        return False
+    if b["broken"]:
+        if h > b["top"] if k == 1 else l < b["bottom"]:
+            del found[spot]
+            return False
+    elif (min(o, c) if by_body else l) < b["bottom"] if k == 1 else (max(o, c) if by_body else h) > b["top"]:
+        b["broken"], b["index"] = True, i - 1 if k == 1 else i
+    return True
