@@ -637,3 +637,29 @@ def test_sharding_of_hot_rows(spark, monkeypatch):
         assert order() == one
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_long_repeated_and_missing_rows(spark):
+    """The operators on empty tables, on rows that occur twice, and on very long texts."""
+    rng = random.Random(21)
+    long_ = " ".join(rng.choice(["all", "rights", "reserved", "cc", "by", "general", "public", "license", "mit", "x1"]) for _ in range(30_000))
+    rows = [(1, long_), (2, "cc by"), (2, "cc by"), (None, "cc by"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(*r, "l", 5) for r in rows], "doc_id long, text string, labels string, n_words int")
+    scans = licenses.scan(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_base) for r in scans) == sorted((i or 0, *plain_scan(t)[:2]) for i, t in rows)
+    assert licenses.scan(empty(docs)).count() == 0
+
+    streams = media.digest(media.decoded(media.encoded(docs))).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in streams) == sorted((i or 0, len((t or "").encode())) for i, t in rows)
+    assert media.digest(media.decoded(media.encoded(empty(docs)))).count() == 0
+
+    item = " ".join("i%d" % k for k in range(30))
+    leaky = spark.createDataFrame([(1, long_ + " " + item), (1, long_ + " " + item), (2, long_), (5, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, None)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.score) for r in decontam.leaks(leaky, bench).collect()) == [(1, 7, 1.0), (5, 7, 1.0)]
+    assert [r.doc_id for r in decontam.clean(leaky, bench).collect()] == [2]
+
+    body = "<article><p>" + "</p><p>".join("line %d" % k for k in range(40_000)) + "</p></article>"
+    pages = spark.createDataFrame([(1, "http://a/", body), (1, "http://a/", body), (2, "http://a/b", "<nav>m</nav>"), (3, None, None)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.n_chars, r.text.count("\n\n")) for r in style_tree.extract(pages).collect())
+    assert got[0] == got[1] and got[0][2] == 39_999 and got[2:] == [(2, 0, 0), (3, 0, 0)]

@@ -1,8 +1,12 @@
+import itertools
 import random
 
-import corpus_pipeline
+import numpy as np
+
 import __spark_entry__ as entry
-from tidemark.llm import minhash
+import corpus_pipeline
+from tests.llm.test_operators import shingles
+from tidemark.llm import decontam, minhash
 
 
 def test_stages(spark):
@@ -17,6 +21,40 @@ def test_stages(spark):
     assert out.columns[-2:] == ["shard", "slot"] and 0 < out.count() < docs.count()
 
 
+def test_run_is_the_stages_by_brute_force(spark):
+    """What the quality stage keeps, then all pairs of documents, then all documents with
+    all items; mixing and sharding drop nothing."""
+    sf = "/root/testdata/sf0.001"
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = {r.doc_id: r.text for r in corpus_pipeline.good(spark, docs, sf).collect()}
+    sets, up = {i: shingles(t) for i, t in rows.items()}, {i: i for i in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(rows), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 10 * len(a & b) >= 8 * len(a | b):
+            x, y = root(i), root(j)
+            up[max(x, y)] = min(x, y)
+    kept = [i for i in rows if root(i) == i]
+    ids = {}
+    items = [np.array([ids.setdefault(w, len(ids) + 1) for w in decontam.words_of(r.text)], np.int64) for r in bench.collect()]
+    clean = set()
+    for i in kept:
+        x = np.array([ids.get(w, 0) for w in decontam.words_of(rows[i])], np.int64)
+        if not any(len(y) and len(x) and np.isin(y, x).sum() >= 0.6 * len(y) - 1e-9 and decontam.align(y, x)[0] >= 0.6 for y in items):
+            clean.add(i)
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(r.doc_id for r in out) == sorted(clean) and len(clean) < len(kept) < len(rows)
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_near_duplicate_stage_links_from_80_percent(spark):
     """Texts of 100 shingles; 10 or 11 of them changed leave a similarity of 0.82 or 0.80."""
     rng = random.Random(8)
