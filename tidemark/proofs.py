@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _EVENT_BARS, _ORDER_BARS, _T, _W, _chain, query
+from .catalog import _EVENT_BARS, _ORDER_BARS, _SWINGS, _T, _W, _chain, query
 from .core import KEY, TS
 from .operators import grouped, reports
 from .sources import feeds
@@ -513,3 +513,47 @@ def _reference_query(name: str) -> None:
 
 for _name in feeds.REFERENCES:
     _reference_query(_name)
+
+
+# --- structure and the rest of what has memory -------------------------------------------------------------
+proved(
+    "gaps_and_crossings", "orders",
+    [("fair_value_gap", "g", (), {}), ("crossover", "over", ("c", "o"), {}), ("crossunder", "under", ("c", "o"), {}), ("alias_number", "alias_number", ("c",), {}), ("static_cast_to_timestamp", "at", (TS,), {})],
+    [("g_fvg", None, "kind"), ("g_top", 2, "top"), ("g_bottom", 2, "bottom"), ("g_mitigated_index", None, "CASE WHEN kind IS NOT NULL THEN coalesce(j, 0) END"), ("over", None, "CASE WHEN c1 IS NOT NULL THEN c > o AND c1 <= o1 END"), ("under", None, "CASE WHEN c1 IS NOT NULL THEN c < o AND c1 >= o1 END"),
+     ("alias_number", 2, "c"), ("at", None, "strftime(ts, '%Y-%m-%d %H:%M:%S')")],
+    f"a AS (SELECT *, row_number() OVER ({_W}) - 1 i, {lag('c')} c1, {lag('o')} o1, {lag('h')} h1, {lag('l')} l1, lead(h) OVER ({_W}) h2, lead(l) OVER ({_W}) l2 FROM bars), "
+    "b AS (SELECT *, CASE WHEN h1 < l2 AND c > o THEN 1 WHEN l1 > h2 AND c < o THEN -1 END::bigint kind FROM a), d AS (SELECT *, CASE kind WHEN 1 THEN l2 WHEN -1 THEN l1 END top, CASE kind WHEN 1 THEN h1 WHEN -1 THEN h2 END bottom FROM b), "
+    "e AS (SELECT d.asset_id, d.i, min(x.i) j FROM d JOIN d x ON x.asset_id = d.asset_id AND x.i >= d.i + 2 AND CASE d.kind WHEN 1 THEN x.l <= d.top WHEN -1 THEN x.h >= d.bottom END GROUP BY 1, 2), f AS (SELECT d.*, e.j FROM d LEFT JOIN e USING (asset_id, i))", "f",
+)
+
+_RUN = "(PARTITION BY asset_id, run ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+_HELD = lambda s, x, n: (s, f"n.{x}", f"CASE WHEN n.{x} IS NULL THEN p.{s} ELSE {1 - 2 / (n + 1)!r} * p.{s} + {2 / (n + 1)!r} * n.{x} END")
+proved(
+    "volume_and_strength", "orders",
+    [("kvo", "kvo0", (), {}), ("div", "kvo", ("kvo0", 100.0), {}), ("qqe", "qqe", (), {})],
+    [("kvo", 3, "(a - b) / 100"), ("qqe_result", 3, "ma - 50"), ("qqe_rsi_ma", 3, "ma"), ("qqe_long_line", 3, "low"), ("qqe_short_line", 3, "high")],
+    f"{_ROWS}, i1 AS (SELECT *, h + l + c hlc, greatest(c - c1, 0) + 0 * c1 upx, greatest(c1 - c, 0) + 0 * c1 dnx FROM i0), i2 AS (SELECT *, CASE WHEN hlc > {lag('hlc')} THEN 1 WHEN hlc < {lag('hlc')} THEN -1 END t0, {_wilder_seed('up', 'upx', 14)}, {_wilder_seed('dn', 'dnx', 14)} FROM i1), "
+    f"i3 AS (SELECT *, last_value(t0 IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING) t FROM i2), i4 AS (SELECT *, coalesce(t <> {lag('t')}, true)::int turned, {lag('hl')} hl1 FROM i3), i5 AS (SELECT *, {so_far('sum(turned)')} run FROM i4), "
+    f"i6 AS (SELECT *, sum(hl) OVER {_RUN} + coalesce(first_value(hl1) OVER {_RUN}, 0) cm FROM i5), i7 AS (SELECT *, CASE WHEN t IS NOT NULL THEN v * t * 100 * abs(2 * {div('hl', 'cm')} - 1) END force FROM i6), "
+    + remembered("r", "i7", ["c"], [_HELD("a", "force", 14), _HELD("b", "force", 28), _wilder("up", "upx", 14), _wilder("dn", "dnx", 14), ("ma", "100 * {up} / nullif({up} + {dn}, 0)", f"{1 - 2 / 6!r} * p.ma + {2 / 6!r} * (100 * {{up}} / nullif({{up}} + {{dn}}, 0))")])
+    + f", q AS (SELECT *, {lag('ma')} ma1, abs(ma - {lag('ma')}) change FROM r), "
+    + remembered("r2", "q", ["a", "b", "ma"], [
+        _HELD("one", "change", 27), ("two", "{one}", f"{1 - 2 / 28!r} * p.two + {2 / 28!r} * {{one}}"),
+        ("low", "n.ma - 4.236 * {two}", "CASE WHEN n.ma1 > p.low AND n.ma > p.low THEN greatest(p.low, n.ma - 4.236 * {two}) ELSE n.ma - 4.236 * {two} END"),
+        ("high", "n.ma + 4.236 * {two}", "CASE WHEN n.ma1 < p.high AND n.ma < p.high THEN least(p.high, n.ma + 4.236 * {two}) ELSE n.ma + 4.236 * {two} END"),
+    ]), "r2", recursive=True,
+)
+
+_LAST = lambda x: f"coalesce(last_value({x} IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING), 0)"
+
+
+def _retraced(spark, sf_dir):
+    return _chain(feeds.order_bars(spark, sf_dir), ("swing_highs_lows", "s", (), {}), ("retracements", "r", ("s_high_low", "s_level"), {}))
+
+
+@query(f"""WITH {_ORDER_BARS}, {_SWINGS}, a AS (SELECT *, {_LAST('hl')} way, {_LAST('CASE WHEN hl = 1 THEN lv END')} top, {_LAST('CASE WHEN hl = -1 THEN lv END')} bot FROM swings), b AS (SELECT *, coalesce(way <> lag(way) OVER ({_W}), true) turned FROM a),
+d AS (SELECT *, {so_far('sum(turned::int)')} run, coalesce(CASE WHEN abs(top - bot) > 1e-10 THEN round(100 * CASE WHEN way = 1 AND NOT turned THEN (top - l) / (top - bot) WHEN way = -1 THEN (h - bot) / (top - bot) END, 1) END, 0) now FROM b),
+e AS (SELECT *, greatest(max(now) OVER {_RUN}, 0) deep FROM d), f AS (SELECT *, coalesce({lag('way')}, 0) w, coalesce({lag('now')}, 0) n1, coalesce({lag('deep')}, 0) d1 FROM e), g AS (SELECT *, coalesce(w <> {lag('w')}, false) ch FROM f), x AS (SELECT *, {so_far('sum(ch::int)')} chs FROM g)
+SELECT asset_id, {_T}, CASE WHEN chs > 3 OR (chs = 3 AND NOT ch) THEN w ELSE 0 END direction, CASE WHEN chs > 3 OR (chs = 3 AND NOT ch) THEN n1 ELSE 0 END "current", CASE WHEN chs > 3 OR (chs = 3 AND NOT ch) THEN d1 ELSE 0 END deepest FROM x""")
+def swing_retracements(spark, sf_dir):
+    return _text_ts(_retraced(spark, sf_dir).select(KEY, TS, F.col("r_direction").alias("direction"), F.col("r_current_retracement").alias("current"), F.col("r_deepest_retracement").alias("deepest")), TS)
