@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidemark import functions, operators  # noqa: F401
 from tidemark.core import REGISTRY, apply, on_valid
-from tidemark.operators import cross_section, grouped, reports, resample
+from tidemark.operators import cross_section, futures, grouped, reports, resample
 from tidemark.sources import feeds
 
 SF = "/root/testdata/sf0.001"
@@ -238,6 +239,68 @@ def test_feeds_are_checked(spark):
         feeds.with_feed_id(b, facts, "dividends", dividend_type="??")
 
 
+def plain_continuous(rows, rule, offset, direction, style):
+    """The roll as a loop over one root's rows (ts, contract, expiry, price, v, oi)."""
+    contracts = sorted({(r[2], r[1]) for r in rows})
+    bars = {name: sorted(r for r in rows if r[1] == name) for _, name in contracts}
+    expiry = {name: e for e, name in contracts}
+    names = [name for _, name in contracts]
+    at_or_after = lambda name, ts: next((r for r in bars[name] if r[0] >= ts), None)
+    at, day, decided, front, back, held = 0, None, False, [], [], []
+    for ts in sorted({r[0] for r in rows}):
+        if ts.date() != day:
+            day, decided = ts.date(), False
+            while at < len(names) - 1 and ts > bars[names[at]][-1][0]:
+                at += 1
+            if ts >= bars[names[at]][0][0]:
+                decided = True
+                if at < len(names) - 1:
+                    f = at_or_after(names[at], ts)
+                    b = at_or_after(names[at + 1], ts) if ts >= bars[names[at + 1]][0][0] else f
+                    e = expiry[names[at]]
+                    if (
+                        e <= day + dt.timedelta(days=offset) if rule == "last_trading_day"
+                        else e.replace(day=1) + dt.timedelta(days=offset) == day if rule == "first_of_month"
+                        else f and b and b[5] / f[5] >= 1 + offset / 100
+                    ):
+                        at += 1
+        if not decided:
+            continue
+        nxt = names[min(at + 1, len(names) - 1)]
+        f, b = at_or_after(names[at], ts), at_or_after(nxt if ts >= bars[nxt][0][0] else names[at], ts)
+        if f and b:
+            front.append(f), back.append(b), held.append((ts, names[at]))
+    steps = [None if i == 0 or held[i][1] == held[i - 1][1] else (back[i][3] - front[i][3] if style == "difference" else back[i][3] / front[i][3]) for i in range(len(held))]
+    out = []
+    for i, (ts, name) in enumerate(held):
+        mine = [x for x in (steps[i + 1 :] if direction == "backward" else steps[: i + 1]) if x is not None]
+        out.append((ts, name, front[i][3] + sum(mine) if style == "difference" else front[i][3] * math.prod(mine)))
+    return out
+
+
+@pytest.mark.parametrize("rule,offset,direction,style", [("liquidity", 10, "backward", "difference"), ("liquidity", 0, "forward", "ratio"), ("last_trading_day", 2, "backward", "ratio"), ("first_of_month", 3, "forward", "difference")])
+def test_continuous_futures(spark, rule, offset, direction, style):
+    rng = random.Random(5)
+    rows = []
+    for root in ("A", "B"):
+        for k in range(5):
+            expiry = dt.date(2020, 2 + 2 * k, 20)
+            for d in range(130):
+                day = dt.datetime(expiry.year, expiry.month, expiry.day) - dt.timedelta(days=d)
+                for hour in (9, 15):
+                    if rng.random() < 0.9:
+                        rows.append((root, day + dt.timedelta(hours=hour), f"{root}{k}", expiry, 100.0 + 5 * k + rng.random(), float(rng.randrange(1, 50)), float(1000 - abs(d - 60) * 10 + rng.randrange(100))))
+    df = spark.createDataFrame([(r, t, c, e, p, p, p, p, v, oi) for r, t, c, e, p, v, oi in rows], "asset_id string, ts timestamp, contract string, expiry date, o double, h double, l double, c double, v double, oi double")
+    got = futures.continuous(df, rule, offset, direction, style).collect()
+    for root in ("A", "B"):
+        expected = plain_continuous([r[1:] for r in rows if r[0] == root], rule, offset, direction, style)
+        shown = sorted((r.ts, r.contract, r.c) for r in got if r.asset_id == root)
+        assert [x[:2] for x in shown] == [x[:2] for x in expected]
+        near([x[2] for x in shown], [x[2] for x in expected], 1e-9)
+    assert len({r.contract for r in got}) > 4
+    assert futures.continuous(df.where("false"), rule, offset, direction, style).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _EVENT_BARS, _ORDER_BARS, _SWINGS, _T, _W, _chain, query
 from .core import KEY, TS
-from .operators import grouped, reports
+from .operators import futures, grouped, reports
 from .sources import feeds
 
 _BASE = {"orders": (feeds.order_bars, _ORDER_BARS), "events": (feeds.event_bars, _EVENT_BARS)}
@@ -557,3 +557,18 @@ e AS (SELECT *, greatest(max(now) OVER {_RUN}, 0) deep FROM d), f AS (SELECT *,
 SELECT asset_id, {_T}, CASE WHEN chs > 3 OR (chs = 3 AND NOT ch) THEN w ELSE 0 END direction, CASE WHEN chs > 3 OR (chs = 3 AND NOT ch) THEN n1 ELSE 0 END "current", CASE WHEN chs > 3 OR (chs = 3 AND NOT ch) THEN d1 ELSE 0 END deepest FROM x""")
 def swing_retracements(spark, sf_dir):
     return _text_ts(_retraced(spark, sf_dir).select(KEY, TS, F.col("r_direction").alias("direction"), F.col("r_current_retracement").alias("current"), F.col("r_deepest_retracement").alias("deepest")), TS)
+
+
+@query()
+def futures_continuation(spark, sf_dir):
+    """Ship modes as roots, and quarters of commit dates as contracts that trade until the
+    quarter's end; tested against a plain loop."""
+    quarter = F.date_trunc("quarter", "l_commitdate")
+    lines = feeds.read(spark, sf_dir, "lineitem").select(
+        F.col("l_shipmode").alias(KEY), F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias(TS), F.date_format(quarter, "yyyy-MM").alias("contract"), F.last_day(F.add_months(quarter, 2)).alias("expiry"), "l_extendedprice", "l_quantity"
+    )
+    price = F.col("l_extendedprice")
+    bars = lines.where(F.col(TS) <= F.col("expiry")).groupBy(KEY, TS, "contract", "expiry").agg(
+        F.avg(price).alias("o"), F.max(price).alias("h"), F.min(price).alias("l"), F.avg(price).alias("c"), F.sum(F.col("l_quantity").cast("double")).alias("v"), F.count("*").cast("double").alias("oi")
+    )
+    return _text_ts(futures.continuous(bars, "last_trading_day", 5, "backward", "ratio"), TS)
