@@ -32,6 +32,8 @@ BAND_PERMUTATIONS = 3
 PERCENT = 85
 #: The share of pairs at the threshold itself that may share no band.
 MISSED = 1.2e-5
+#: Rarer shingles that travel with one, to tell pairs that have met at one of them.
+BEFORE = 8
 #: Words whose hashes a task keeps at once, a matter of speed only.
 _CACHE = 400_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -193,7 +195,11 @@ def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     least_large = F.ceil(percent * n / 100)
     least_small = F.ceil(2 * percent * n / (100 + percent))
     wide, narrow = (F.greatest(F.lit(0), n - x + 1 - (n - F.col("k"))).cast("int") for x in (least_large, least_small))
-    post = sets.select("node", "n", "k", "part", narrow.alias("narrow"), F.posexplode(F.slice("common", F.lit(1), wide)).alias("at", "x"))
+    # a shingle travels with those before it in the order: two sets that share one of
+    # them meet there already
+    listed = sets.select("node", "n", "k", "part", narrow.alias("narrow"), F.slice("common", F.lit(1), wide).alias("rare"))
+    post = listed.select("node", "n", "k", "part", "narrow", "rare", F.posexplode("rare").alias("at", "x"))
+    post = post.withColumn("before", F.slice("rare", F.greatest(F.lit(1), F.col("at") + 1 - BEFORE), F.least(F.col("at"), F.lit(BEFORE)))).drop("rare")
     parts = post.groupBy("x", "part").agg(F.count("*").alias("m")).groupBy("x").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     post = cut(post.join(parts.select("x", "main").hint("merge"), "x"))
     rest = post.where("part <> main").toDF(*[f"{c}1" if c not in ("x", "main") else c for c in post.columns]).drop("main")
@@ -201,7 +207,10 @@ def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     apart = (F.col("part1") != F.col("part2")) & ((F.col("part2") == F.col("main")) | (F.col("node1") < F.col("node2"))) & _can_link("n1", "n2", "k1", "k2", percent)
     first_larger = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
     small_has_it = F.when(first_larger, F.col("at2") < F.col("narrow2")).otherwise(F.col("at1") < F.col("narrow1"))
-    found = rest.join(others.hint("merge"), "x").where(apart & small_has_it)
+    # what stands before x in both is shared in vain, so the rest of both has to reach it
+    left = F.least(F.col("k1") - F.col("at1"), F.col("k2") - F.col("at2"))
+    reach = (100 * left >= percent * (F.col("n1") + F.col("n2") - left)) & ~F.arrays_overlap("before1", "before2")
+    found = rest.join(others.hint("merge"), "x").where(apart & small_has_it & reach)
     return found.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
@@ -227,12 +236,13 @@ def near_duplicates(docs: DataFrame, seed: int = 1, percent: int = PERCENT) -> D
     sig = written(signatures(docs, seed, percent), "minhash-signatures")
     # a doc_id spreads the rows of a text that occurs often
     place = F.coalesce("doc_id", "text_key").alias("place")
-    classes = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct(place, "text_key")).alias("text"), F.first("bands").alias("bands"))
-    banded = classes.select("node", "text", F.explode("bands").alias("bucket"))
+    classes = sig.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
+    banded = classes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = written(banded.join(shared.hint("merge"), "bucket", "left_semi"), "minhash-members")
 
-    needed = members.select("text.place", "text.text_key").distinct()
+    texts = sig.where("node is not null").groupBy("node").agg(F.min(F.struct(place, "text_key")).alias("text"))
+    needed = texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("text.place", "text.text_key").distinct()
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key()).select(place, "text_key", "text")
     one_each = rows.join(needed.hint("merge"), ["place", "text_key"], "left_semi").dropDuplicates(["place", "text_key"])
     sets = written(_reduced(written(shingle_sets(one_each), "minhash-sets")).where(100 * F.col("k") >= percent * F.col("n")), "minhash-reduced")
