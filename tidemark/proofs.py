@@ -149,9 +149,9 @@ _LINE = over(14, "regr_slope(c, i)")
 _WMA = lambda n, x: f"(CASE WHEN count({x}) OVER ({_W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN (" + " + ".join(f"{n - i} * {lag(x, i) if i else x}" for i in range(n)) + f") / {n * (n + 1) / 2} END)"
 proved(
     "moving_averages", "orders",
-    [("wma", "wma", ("c",), {"period": 9}), ("trima", "trima", ("c",), {"period": 9}), ("trima", "trima8", ("c",), {"period": 8}), ("hma", "hma", ("c",), {"period": 9}), ("vwma", "vwma", ("c", "v"), {}), ("linregintercept", "intercept", ("c",), {}), ("tsf", "tsf", ("c",), {}), ("fosc", "fosc", ("c",), {}),
+    [("wma", "wma", ("c",), {"period": 9}), ("trima", "trima", ("c",), {"period": 9}), ("trima", "trima8", ("c",), {"period": 8}), ("hma", "hma", ("c",), {"period": 9}), ("vwma", "vwma0", ("c", "v"), {}), ("div", "vwma", ("vwma0", 99991.0), {}), ("linregintercept", "intercept", ("c",), {}), ("tsf", "tsf", ("c",), {}), ("fosc", "fosc", ("c",), {}),
      ("dpo", "dpo", ("c",), {}), ("ma", "ma", ("c",), {"type": "wma", "period": 5}), ("ao", "ao", (), {}), ("qstick", "qstick", (), {}), ("vosc", "vosc", (), {}), ("rocr", "rocr", ("c",), {}), ("stderr", "stderr", ("c",), {}), ("sub", "d1", ("c", "o"), {}), ("add", "d2", ("c", "o"), {}), ("div", "d3", ("d1", "d2"), {}), ("div", "d4", ("d3", 100.0), {}), ("add", "rate", ("d4", 1.0), {}), ("cum_prod", "cum_prod", ("rate",), {})],
-    [("wma", 2, _WMA(9, "c")), ("trima", 4, mean(5, "t5")), ("trima8", 4, mean(5, "t4")), ("hma", 4, _WMA(3, "hm")), ("vwma", 1, div(over(14, "sum(c * v)"), over(14, "sum(v)"))), ("intercept", 2, f"{mean(14)} - {_LINE} * 6.5"), ("tsf", 2, "ahead"), ("fosc", 4, f"100 * (c - {lag('ahead')}) / c"),
+    [("wma", 2, _WMA(9, "c")), ("trima", 4, mean(5, "t5")), ("trima8", 4, mean(5, "t4")), ("hma", 4, _WMA(3, "hm")), ("vwma", 7, div(over(14, "sum(c * v)"), over(14, "sum(v)")) + " / 99991.0"), ("intercept", 2, f"{mean(14)} - {_LINE} * 6.5"), ("tsf", 2, "ahead"), ("fosc", 4, f"100 * (c - {lag('ahead')}) / c"),
      ("dpo", 3, f"{lag('c', 8)} - {mean(14)}"), ("ma", 2, _WMA(5, "c")), ("ao", 5, f"CASE WHEN count(*) OVER ({_W} ROWS BETWEEN 33 PRECEDING AND CURRENT ROW) = 34 THEN {mean(5, '(h + l) / 2')} - {mean(34, '(h + l) / 2')} END"), ("qstick", 3, mean(14, "c - o")), ("vosc", 4, f"100 * ({mean(14, 'v')} - {mean(28, 'v')}) / {mean(28, 'v')}"),
      ("rocr", 4, f"c / {lag('c', 14)}"), ("stderr", 2, f"{over(14, 'stddev_pop(c)')} / sqrt(14)"), ("cum_prod", 4, so_far("product(rate)"))],
     f"i AS (SELECT *, row_number() OVER ({_W})::double i, 1 + (c - o) / (c + o) / 100 rate FROM bars), j AS (SELECT *, {mean(5)} t5, {mean(4)} t4, 2 * {_WMA(4, 'c')} - {_WMA(9, 'c')} hm, {mean(14)} + {_LINE} * 7.5 ahead FROM i)", "j",
