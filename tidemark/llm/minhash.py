@@ -272,7 +272,8 @@ def near_duplicates(docs: DataFrame, seed: int = 1, percent: int = PERCENT) -> D
     linked = cut(firsts.join(final.hint("merge"), "node"))
     names = linked.groupBy("component").agg(F.min("first").alias("name"))
     of_node = linked.join(names.hint("merge"), "component").select("node", "name")
-    named = firsts.join(of_node.hint("merge"), "node", "left").select("node", F.coalesce("name", "first").alias("component_id"))
+    # stored, so that the join with all rows shuffles both sides and a hot set can be split
+    named = cut(firsts.join(of_node.hint("merge"), "node", "left").select("node", F.coalesce("name", "first").alias("component_id")))
     out = ["doc_id", "text_key", "n_shingles", "component_id"]
     linkable = sig.where("node is not null").join(named.hint("merge"), "node").select(*out)
     empty = sig.where("node is null").withColumn("component_id", F.col("doc_id")).select(*out)
