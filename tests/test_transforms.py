@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark import functions, operators  # noqa: F401
-from tidemark.core import REGISTRY, apply, on_valid
+from tidemark.core import REGISTRY, apply, chain, on_valid
 from tidemark.operators import cross_section, futures, grouped, reports, resample
 from tidemark.sources import feeds
 
@@ -301,6 +301,25 @@ def test_continuous_futures(spark, rule, offset, direction, style):
     assert futures.continuous(df.where("false"), rule, offset, direction, style).count() == 0
 
 
+@pytest.mark.parametrize("name", ["candles_events"])
+def test_candles_share_their_windows(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("Window [") <= 3  # 63 before: deep enough to overflow the planner's stack
+
+
+def test_shared_columns_follow_their_inputs(spark):
+    rng = random.Random(3)
+    b = bars(spark, **{x: [rng.uniform(9, 11) for _ in range(60)] for x in "ohlcv"})
+    steps = [("engulfing_bull", "a", (), {"period": 3}), ("add", "c", ("c", 0.5), {}), ("engulfing_bull", "b", (), {"period": 3}), ("engulfing_bull", "d", (), {"period": 4, "body_long": 0.5})]
+    one = b
+    for name, out, inputs, options in steps:
+        one = apply(one, name, out, *inputs, **options)
+    got = chain(b, *steps)
+    assert got.columns == one.columns
+    assert [tuple(r) for r in got.orderBy("ts").collect()] == [tuple(r) for r in one.orderBy("ts").collect()]
+    assert values(got, "a") != values(got, "b")
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions, operators  # noqa: F401
-from .core import KEY, TS, apply, on_valid
+from .core import KEY, TS, apply, chain, on_valid
 from .operators import grouped, reports, resample
 from .plans import strategies
 from .sources import feeds
@@ -58,9 +58,7 @@ def _shown(df: DataFrame, *columns: str, key: tuple[str, ...] = (KEY, TS)) -> Da
 
 
 def _chain(df: DataFrame, *steps: tuple) -> DataFrame:
-    for name, out, inputs, options in steps:
-        df = apply(df, name, out, *inputs, **options)
-    return df
+    return chain(df, *steps)
 
 
 def _full(n: int, value: str, x: str = "c") -> str:

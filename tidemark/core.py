@@ -85,7 +85,7 @@ class Steps:
     """A frame on which a transform builds intermediate columns."""
 
     def __init__(self, df: DataFrame) -> None:
-        self.df, self.temporary = df, []
+        self.df, self.temporary, self.shared = df, [], {}
         self.o, self.h, self.l, self.c, self.v = (F.col(x) for x in "ohlcv")
 
     def add(self, x: Column) -> Column:
@@ -95,6 +95,24 @@ class Steps:
         self.temporary.append(name)
         return F.col(name)
 
+    def once(self, key: tuple, made: Callable[[], list[Column]]) -> list[Column]:
+        """made()'s columns, added together (those over one window are one operator) and kept
+        for the later steps of a chain that ask for the same key."""
+        if key not in self.shared:
+            names = {f"__step{next(_names)}": x for x in made()}
+            self.df = self.df.withColumns(names)
+            self.shared[key] = list(names)
+        return [F.col(x) for x in self.shared[key]]
+
+    def put(self, named: dict[str, Column]) -> None:
+        """A step's outputs; its intermediate columns go. Shared ones stay, unless an output
+        takes the place of a column that they may come from."""
+        before = {x.lower() for x in self.df.columns}
+        gone, self.temporary = self.temporary, []
+        if any(x.lower() in before for x in named):
+            gone, self.shared = gone + [x for xs in self.shared.values() for x in xs], {}
+        self.df = self.df.withColumns(named).drop(*gone) if gone else self.df.withColumns(named)
+
     def _named(self, x: Column) -> str:
         self.add(x)
         return self.temporary[-1]
@@ -159,13 +177,20 @@ class Steps:
         return [F.col(n) for n in names]
 
 
+def chain(df: DataFrame, *steps: tuple) -> DataFrame:
+    """df with the outputs of (transform, out, inputs, options) steps, one after another:
+    out, or out_<handle> where a transform has several."""
+    s = Steps(df)
+    for name, out, inputs, options in steps:
+        made = REGISTRY[name](s, *map(as_column, inputs), **options)
+        made = made if isinstance(made, dict) else {"": made}
+        s.put({f"{out}_{k}" if k else out: x for k, x in made.items()})
+    return s.df.drop(*[x for xs in s.shared.values() for x in xs])
+
+
 def apply(df: DataFrame, name: str, out: str, *inputs: str | Column | float, **options) -> DataFrame:
-    """df with the transform's outputs: out, or out_<handle> where it has several."""
-    steps = Steps(df)
-    made = REGISTRY[name](steps, *map(as_column, inputs), **options)
-    made = made if isinstance(made, dict) else {"": made}
-    named = {f"{out}_{k}" if k else out: x for k, x in made.items()}
-    return steps.df.withColumns(named).drop(*steps.temporary)
+    """df with one transform's outputs."""
+    return chain(df, (name, out, inputs, options))
 
 
 def on_valid(df: DataFrame, name: str, out: str, *inputs: str, **options) -> DataFrame:

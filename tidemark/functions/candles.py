@@ -14,12 +14,14 @@ class Candle:
     """The parts of the bar n rows back, measured against averages of the rows before it."""
 
     def __init__(self, s, n: int, k: dict) -> None:
-        back = (lambda x: F.lag(x, n).over(W())) if n else (lambda x: x)
-        self.o, self.h, self.l, self.c = (s.add(back(x)) for x in (s.o, s.h, s.l, s.c))
-        body, spread = F.abs(s.c - s.o), s.h - s.l
-        before = W().rowsBetween(-k["period"], -1)
-        mean = lambda x: s.add(F.when(F.count(x).over(before) == k["period"], F.avg(x).over(before)))
-        self.mean_body, self.mean_spread = s.add(back(mean(body))), s.add(back(mean(spread)))
+        prices, before = [s.o, s.h, s.l, s.c], W().rowsBetween(-k["period"], -1)
+        mean = lambda x: F.when(F.count(x).over(before) == k["period"], F.avg(x).over(before))
+        means = s.once(("candle means", k["period"]), lambda: [mean(F.abs(s.c - s.o)), mean(s.h - s.l)])
+        back = lambda xs: [F.lag(x, n).over(W()) for x in xs]
+        if n:
+            prices = s.once(("candle prices", n), lambda: back(prices))
+            means = s.once(("candle means", k["period"], n), lambda: back(means))
+        (self.o, self.h, self.l, self.c), (self.mean_body, self.mean_spread) = prices, means
         self.body = F.abs(self.c - self.o)
         self.top, self.bottom = F.greatest(self.o, self.c), F.least(self.o, self.c)
         self.upper, self.lower = self.h - self.top, self.bottom - self.l
