@@ -301,7 +301,7 @@ def test_continuous_futures(spark, rule, offset, direction, style):
     assert futures.continuous(df.where("false"), rule, offset, direction, style).count() == 0
 
 
-@pytest.mark.parametrize("name", ["candles_events", "candles_loose_events", "candles_loose_orders"])
+@pytest.mark.parametrize("name", ["candles_events", "candles_loose_events", "candles_loose_orders", "candles_orders"])
 def test_candles_share_their_windows(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert 1 <= plan.count("Window [") <= 3  # 63 before: deep enough to overflow the planner's stack
