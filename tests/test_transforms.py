@@ -301,6 +301,13 @@ def test_continuous_futures(spark, rule, offset, direction, style):
     assert futures.continuous(df.where("false"), rule, offset, direction, style).count() == 0
 
 
+def test_futures_query_rolls_each_root(spark):
+    rows = entry.queries()["futures_continuation"](spark, SF).collect()
+    fronts = {root: [r.contract for r in sorted(rows, key=lambda r: r.ts) if r.asset_id == root] for root in "ANR"}
+    assert sum(map(len, fronts.values())) == len(rows) == len({(r.asset_id, r.ts) for r in rows})
+    assert all(x == sorted(x) and len(set(x)) > 20 for x in fronts.values())
+
+
 @pytest.mark.parametrize("name", ["candles_events", "candles_loose_events", "candles_loose_orders", "candles_orders"])
 def test_candles_share_their_windows(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

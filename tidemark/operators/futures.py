@@ -8,6 +8,8 @@ the next contract, and adjustments are running sums or products over the rolls.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,34 +29,41 @@ def _at_or_after(times: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def _rolled(rule: str, offset: int):
-    """A root's decisions: rows of (ts, contract, expiry, first, last, oi) by ts and expiry ->
-    the front and next contract from each decision on."""
-
-    def due(day, front, back) -> bool:
-        if rule == "last_trading_day":
-            return front["expiry"] <= day + offset
-        if rule == "first_of_month":
-            return front["month_start"] + offset == day
-        return front["oi"] is not None and front["oi"] > 0 and back["oi"] is not None and back["oi"] / front["oi"] >= 1 + offset / 100
+    """A root's rows of (day, decided, contract, expiry, month_start, first, last, oi), a contract's
+    first bar of each of its days -> the front and next contract from each decision on."""
 
     def run(rows):
-        rows = rows.sort_values([TS, "expiry", "contract"], kind="stable")
-        names = rows.drop_duplicates("contract").sort_values(["expiry", "contract"])["contract"].tolist()
-        at, out = 0, []
-        for ts, now in rows.groupby(TS, sort=True):
-            now = {r["contract"]: r | {"oi": None if r["oi"] != r["oi"] else r["oi"]} for r in now.to_dict("records")}
-            while at < len(names) - 1 and ts > now[names[at]]["last"]:
-                at += 1
-            if ts < now[names[at]]["first"]:
-                continue
-            if at < len(names) - 1:
-                front = now[names[at]]
-                back = now[names[at + 1]] if ts >= now[names[at + 1]]["first"] else front
-                if due(front["day"], front, back):
-                    at += 1
-            out.append((rows[KEY].iloc[0], ts, names[at], names[min(at + 1, len(names) - 1)]))
         import pandas as pd
 
+        spans = rows.drop_duplicates("contract").sort_values(["expiry", "contract"])
+        names, firsts, lasts, expiries, months = (spans[x].tolist() for x in ("contract", "first", "last", "expiry", "month_start"))
+        rows = rows.sort_values("day", kind="stable")
+        held = {name: (g["day"].tolist(), g["oi"].tolist()) for name, g in rows.groupby("contract")}
+
+        def interest(i: int, day: int) -> float:
+            """Of the contract's first bar on the day or later; not a number if it has none."""
+            days, oi = held[names[i]]
+            k = bisect_left(days, day)
+            return oi[k] if k < len(days) and oi[k] is not None else float("nan")
+
+        def due(front: int, back: int, day: int) -> bool:
+            if rule == "last_trading_day":
+                return expiries[front] <= day + offset
+            if rule == "first_of_month":
+                return months[front] + offset == day
+            least = interest(front, day)
+            return least > 0 and interest(back, day) / least >= 1 + offset / 100
+
+        at, end, out = 0, len(names) - 1, []
+        decisions = rows.drop_duplicates("day")
+        for day, ts in zip(decisions["day"].tolist(), decisions["decided"].tolist(), strict=True):
+            while at < end and ts > lasts[at]:
+                at += 1
+            if ts < firsts[at]:
+                continue
+            if at < end and due(at, at + 1 if ts >= firsts[at + 1] else at, day):
+                at += 1
+            out.append((rows[KEY].iloc[0], ts, names[at], names[min(at + 1, end)]))
         return pd.DataFrame(out, columns=[KEY, TS, "front", "back"])
 
     return run
@@ -73,12 +82,11 @@ def legs(contracts: DataFrame, rule: str = "liquidity", offset: int = 0) -> Data
     bars = contracts.select(KEY, "contract", TS, F.struct(*PRICES, "v", "oi").alias("bar"))
     spans = contracts.groupBy(KEY, "contract").agg(F.max("expiry").cast("date").alias("expiry"), F.min(TS).alias("first"), F.max(TS).alias("last"))
     times = contracts.select(KEY, TS).distinct()
-    decisions = times.groupBy(KEY, F.to_date(TS).alias("d")).agg(F.min(TS).alias(TS)).select(KEY, TS)
-    asked = _at_or_after(decisions.join(spans.select(KEY, "contract"), KEY).select(KEY, "contract", TS), bars)
+    # On a day's first time, a contract's bar at or after it is its first one of that day or a later one.
+    daily = contracts.groupBy(KEY, "contract", F.to_date(TS).alias("d")).agg(F.min(TS).alias(TS), F.min_by("oi", TS).alias("oi"))
+    daily = daily.withColumn("decided", F.min(TS).over(Window.partitionBy(KEY, "d"))).join(spans, [KEY, "contract"])
     number = lambda d: F.datediff(d, F.lit("1970-01-01").cast("date"))
-    rows = asked.join(spans, [KEY, "contract"]).select(
-        KEY, TS, "contract", "first", "last", F.col("bar.oi").alias("oi"), number("expiry").alias("expiry"), number(F.trunc("expiry", "month")).alias("month_start"), number(F.to_date(TS)).alias("day")
-    )
+    rows = daily.select(KEY, number("d").alias("day"), "decided", "contract", number("expiry").alias("expiry"), number(F.trunc("expiry", "month")).alias("month_start"), "first", "last", "oi")
     rolls = rows.groupBy(KEY).applyInPandas(_rolled(rule, offset), _ROLLS)
     day = Window.partitionBy(KEY, F.to_date(TS))
     held = times.withColumn("decided", F.min(TS).over(day)).join(rolls.withColumnRenamed(TS, "decided"), [KEY, "decided"]).drop("decided")

@@ -561,14 +561,16 @@ def swing_retracements(spark, sf_dir):
 
 @query()
 def futures_continuation(spark, sf_dir):
-    """Ship modes as roots, and quarters of commit dates as contracts that trade until the
-    quarter's end; tested against a plain loop."""
-    quarter = F.date_trunc("quarter", "l_commitdate")
-    lines = feeds.read(spark, sf_dir, "lineitem").select(
-        F.col("l_shipmode").alias(KEY), F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias(TS), F.date_format(quarter, "yyyy-MM").alias("contract"), F.last_day(F.add_months(quarter, 2)).alias("expiry"), "l_extendedprice", "l_quantity"
+    """Return flags as roots; the nth line of an order is for delivery n - 1 quarters ahead, so
+    that several contracts trade on a day, each until its quarter's end. Prices as logarithms,
+    as ratios multiply over many rolls."""
+    quarter = F.to_date(F.add_months(F.date_trunc("quarter", "l_shipdate"), 3 * (F.col("l_linenumber") - 1)))
+    lines = feeds.read(spark, sf_dir, "lineitem").where("l_returnflag is not null and l_extendedprice is not null").select(
+        F.col("l_returnflag").alias(KEY), F.date_trunc("day", "l_shipdate").alias(TS), F.date_format(quarter, "yyyy-MM").alias("contract"), F.last_day(F.add_months(quarter, 2)).alias("expiry"), "l_extendedprice", "l_quantity"
     )
     price = F.col("l_extendedprice")
-    bars = lines.where(F.col(TS) <= F.col("expiry")).groupBy(KEY, TS, "contract", "expiry").agg(
+    bars = lines.where(F.to_date(TS) <= F.col("expiry")).groupBy(KEY, TS, "contract", "expiry").agg(
         F.avg(price).alias("o"), F.max(price).alias("h"), F.min(price).alias("l"), F.avg(price).alias("c"), F.sum(F.col("l_quantity").cast("double")).alias("v"), F.count("*").cast("double").alias("oi")
     )
-    return _text_ts(futures.continuous(bars, "last_trading_day", 5, "backward", "ratio"), TS)
+    out = futures.continuous(bars, "last_trading_day", 5, "backward", "ratio")
+    return _text_ts(out, TS).select(KEY, TS, "contract", *[F.round(F.ln(x), 6).alias(f"ln_{x}") for x in futures.PRICES], "v", "oi")
