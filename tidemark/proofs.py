@@ -559,7 +559,21 @@ def swing_retracements(spark, sf_dir):
     return _text_ts(_retraced(spark, sf_dir).select(KEY, TS, F.col("r_direction").alias("direction"), F.col("r_current_retracement").alias("current"), F.col("r_deepest_retracement").alias("deepest")), TS)
 
 
-@query()
+_LEG = "ASOF LEFT JOIN bars {0} ON {0}.asset_id = d.asset_id AND {0}.contract = d.{1} AND {0}.ts >= d.ts"
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT *, date_trunc('day', l_shipdate) ts, (date_trunc('quarter', l_shipdate) + to_months(3 * (l_linenumber - 1)))::date due FROM lineitem WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL),
+bars AS (SELECT l_returnflag asset_id, ts, strftime(due, '%Y-%m') contract, (due + to_months(3))::date - 1 expiry, avg(l_extendedprice) o, max(l_extendedprice) h, min(l_extendedprice) l, avg(l_extendedprice) c, sum(l_quantity) v, count(*)::double oi FROM q WHERE ts::date <= (due + to_months(3))::date - 1 GROUP BY 1, 2, 3, 4),
+spans AS (SELECT asset_id, contract, expiry, min(ts) first, max(ts) last FROM bars GROUP BY 1, 2, 3),
+roots AS (SELECT asset_id, count(*) n, list(contract ORDER BY expiry) contracts, list(first ORDER BY expiry) firsts, list(last ORDER BY expiry) lasts, list(expiry ORDER BY expiry) expiries FROM spans GROUP BY 1),
+days AS (SELECT asset_id, ts, row_number() OVER ({_W}) d FROM (SELECT DISTINCT asset_id, ts FROM bars)),
+rolls AS (SELECT asset_id, NULL::timestamp ts, 0::bigint d, 1::bigint pos, false traded FROM roots UNION ALL
+SELECT asset_id, ts, d, CASE WHEN ts >= firsts[pos1] AND pos1 < n AND expiries[pos1] <= ts::date + 5 THEN pos1 + 1 ELSE pos1 END, ts >= firsts[pos1]
+FROM (SELECT days.asset_id, days.ts, days.d, n, firsts, expiries, coalesce(pos - 1 + nullif(list_position(list_transform(lasts[pos:], lambda x: x >= days.ts), true), 0), n) pos1 FROM rolls p JOIN days ON days.asset_id = p.asset_id AND days.d = p.d + 1 JOIN roots ON roots.asset_id = p.asset_id)),
+d AS (SELECT asset_id, ts, contracts[pos] front, CASE WHEN ts >= firsts[least(pos + 1, n)] THEN contracts[least(pos + 1, n)] ELSE contracts[pos] END back FROM rolls JOIN roots USING (asset_id) WHERE traded),
+legs AS (SELECT d.asset_id, d.ts, front, f.o, f.h, f.l, f.c, f.v, f.oi, {', '.join(f'b.{x} / f.{x} r{x}' for x in 'ohlc')} FROM d {_LEG.format('f', 'front')} {_LEG.format('b', 'back')} WHERE f.ts IS NOT NULL AND b.ts IS NOT NULL),
+s AS (SELECT *, coalesce(front <> {lag('front')}, false) rolled FROM legs)
+SELECT asset_id, {_T}, front contract, {', '.join(f"round(ln({x} * coalesce(product(r{x}) FILTER (rolled) OVER ({_W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1)), 6) ln_{x}" for x in 'ohlc')}, v, oi FROM s""")
 def futures_continuation(spark, sf_dir):
     """Return flags as roots; the nth line of an order is for delivery n - 1 quarters ahead, so
     that several contracts trade on a day, each until its quarter's end. Prices as logarithms,
