@@ -2,11 +2,13 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.test_operators import shingles
-from tidemark.llm import decontam, minhash
+from tidemark.llm import decontam, minhash, sharding
+from tidemark.llm.common import placed, written
 
 
 def test_stages(spark):
@@ -55,6 +57,32 @@ def test_run_is_the_stages_by_brute_force(spark):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_shards_keep_the_mix(spark):
+    """Sources of equal size, shares 2 to 1: every shard has them at these weights from its first
+    slot on, within a stretch, for the first round (180 blocks of 16 rows)."""
+    docs = spark.range(6000).selectExpr("id doc_id", "concat('text ', id) text", "'en' lang", "if(id % 2 = 0, 'src0', 'src4') source", "length(concat('text ', id)) n_chars")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = written(corpus_pipeline.mixed(spark, docs, ""), "mix")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files.inputFiles()) == 4
+    first = placed(files, "p").where("p < 2880").groupBy("source").count().collect()
+    assert all(abs(r["count"] - (1920 if r.source == "src0" else 960)) <= 16 for r in first)
+    out = corpus_pipeline.sharded(spark, files, "").collect()
+    assert sorted(r.doc_id for r in out) == list(range(6000))
+    assert sorted(map(tuple, out)) == sorted(map(tuple, corpus_pipeline.sharded(spark, files, "").collect()))
+    for k in range(8):
+        mine = sorted((r.slot, r.source) for r in out if r.shard == k)
+        assert [s for s, _ in mine] == list(range(750))
+        for n in range(64, 2880 // 8, 8):
+            assert abs(sum(s == "src0" for _, s in mine[:n]) - n * 2 / 3) <= sharding.STRETCH_ROWS / 8
+    empty = written(docs.where("false"), "none")
+    assert corpus_pipeline.sharded(spark, empty, "").count() == 0
+    with pytest.raises(ValueError, match="all rows"):
+        placed(files.where("doc_id > 100"), "p")
+
+
 def test_near_duplicate_stage_links_from_80_percent(spark):
     """Texts of 100 shingles; 10 or 11 of them changed leave a similarity of 0.82 or 0.80."""
     rng = random.Random(8)

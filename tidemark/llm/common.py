@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +67,18 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint()
 
 
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """df, a plain read of Parquet files, and each row's place from 0 in the order of the
+    files' names and of their rows. Only the files are counted; no row is moved."""
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = cut(df.select(file.alias("__file"), row.alias("__index")).groupBy("__file").agg(F.count("*").alias("c"), F.max("__index").alias("last")))
+    if not files.where("c <> last + 1").isEmpty():
+        raise ValueError("places need all rows of the files")
+    before = F.coalesce(F.sum("c").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = df.select(*df.columns, file.alias("__file"), row.alias("__index"))
+    return out.join(F.broadcast(files.select("__file", before.alias("__start"))), "__file").select(*df.columns, (F.col("__start") + F.col("__index")).alias(name))
+
+
 @contextmanager
 def bucketed(df: DataFrame, name: str, key: str) -> Iterator[DataFrame]:
     """df stored below the shared folder in as many buckets by key as shuffles have

@@ -3,7 +3,8 @@
 Pass one scatters all records by a seeded hash into memory-sized buckets. Pass two
 takes each bucket into memory, puts it into a random order by Spark's own seeded
 Fisher-Yates (`shuffle`), and numbers the whole. Equal stretches of that order are the
-shards, so shard counts are at most one apart (the law `rows`).
+shards, so shard counts are at most one apart (the law `rows`). Where an order is given
+that the shards have to keep, its stretches take the buckets' place (dealt()).
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 256
 _HOT = 4
 #: The hot buckets are broadcast up to so many.
 _BROADCAST_ROWS = 1_000_000
+#: So many rows of a given order are shuffled among themselves.
+STRETCH_ROWS = 256
 
 
 def byte_size(text: str = "text") -> F.Column:
@@ -75,3 +78,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:
     out = shuffled(docs, seed, total).withColumn("__shard", F.expr(f"int(__place * {shards}L div {n}L)"))
     first = F.expr(f"(__shard * {n}L + {shards - 1}L) div {shards}L")
     return out.select(*[out[c] for c in docs.columns], F.col("__shard").alias("shard"), (F.col("__place") - first).cast("long").alias("slot"))
+
+
+def dealt(docs: DataFrame, place: str, shards: int = SHARDS, seed: int = 1) -> DataFrame:
+    """docs' columns without place, shard (0 to shards - 1) and slot (gapless from 0 in each
+    shard), of an order that place numbers from 0 without gaps: stretches of STRETCH_ROWS
+    are shuffled, and their rows dealt to the shards in turn. Every shard so has the order's
+    mix from its first slot on, and shard counts are at most one apart. The order follows
+    from the seed and the places. Columns shard and slot that docs has are replaced."""
+    docs = docs.drop("shard", "slot")
+    keyed = docs.withColumns({"__stretch": F.expr(f"`{place}` div {STRETCH_ROWS}L"), "__draw": F.xxhash64(F.lit(seed), F.col(place))})
+    nth = F.row_number().over(Window.partitionBy("__stretch").orderBy("__draw", place))
+    out = keyed.withColumn("__at", F.col("__stretch") * STRETCH_ROWS + nth - 1)
+    own = [c for c in docs.columns if c != place]
+    return out.select(*own, (F.col("__at") % shards).cast("int").alias("shard"), F.expr(f"__at div {shards}L").alias("slot"))
